@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.encoding import decode_corpus, encode_corpus
 from stratalog.llm.leakage import item_matches, leaked_items
 from stratalog.llm.lookalike import lookalike_pairs, with_form
+from stratalog.llm.names import name_of_line
+from stratalog.llm.resolution import resolve_names, same_entity_pairs
 from stratalog.llm.spans import shared_characters
 from stratalog.session import table
 
 
+def _named_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """id, text of p6_names; where a name was not extracted, it is read from the schedule line."""
+    names = table(spark, sf, "p6_names").select(F.col("bno_id").alias("id"), "soi_row_id", "normalized_text")
+    known = names.where("normalized_text is not null").select("id", F.col("normalized_text").alias("text"))
+    lines = table(spark, sf, "soi_row_observation").select("soi_row_id", "identifier_raw").where("identifier_raw is not null")
+    open_names = names.where("normalized_text is null").join(lines, "soi_row_id")
+
+    @F.pandas_udf("string")
+    def named(line: pd.Series) -> pd.Series:
+        return line.map(name_of_line)
+
+    return known.unionByName(open_names.select("id", named("identifier_raw").alias("text")))
+
+
+def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """bno_id and the number of rows of its borrower, under the least bno_id of them."""
+    resolved = resolve_names(_named_rows(spark, sf))
+    least = resolved.groupBy("entity").agg(F.min("id").alias("entity_id"), F.count(F.lit(1)).alias("n_rows"))
+    return resolved.join(least, "entity").select(F.col("id").alias("bno_id"), "entity_id", "n_rows")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_entity_pairs(resolve_names(_named_rows(spark, sf)), "bno_id_a", "bno_id_b")
+
+
 def _visible_rows(spark: SparkSession, sf: str) -> DataFrame:
     soi = table(spark, sf, "soi_row_observation").select(F.lit("soi").alias("record_kind"), F.col("filing_id").alias("scope"), F.col("soi_row_id").alias("id"), F.col("identifier_raw").alias("raw"))
     names = table(spark, sf, "p6_names").select(F.lit("name").alias("record_kind"), F.lit(0).cast("long").alias("scope"), F.col("bno_id").alias("id"), F.col("normalized_text").alias("raw"))
@@ -49,7 +77,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_characters(table(spark, sf, "documents"), "doc_id", "text", 300)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_forms, p7_ids, p7_roundtrip, p8_found, p8_matches, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p5_found, p5_forms, p7_ids, p7_roundtrip, p8_found, p8_matches, p9_found)}
 
 SQL = {
     "p7_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
