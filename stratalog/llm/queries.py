@@ -23,10 +23,11 @@ def _named_rows(spark: SparkSession, sf: str) -> DataFrame:
     open_names = names.where("normalized_text is null").join(lines, "soi_row_id")
 
     @F.pandas_udf("string")
-    def named(line: pd.Series) -> pd.Series:
+    def named(line: pd.Series, _: pd.Series) -> pd.Series:
         return line.map(name_of_line)
 
-    return known.unionByName(open_names.select("id", named("identifier_raw").alias("text")))
+    # The id keeps the function above the join, so that only the lines of open names reach it.
+    return known.unionByName(open_names.select("id", named("identifier_raw", "id").alias("text")))
 
 
 def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
