@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.operators.joins import guarded_join
-from stratalog.session import BROADCAST_ROWS
+from stratalog.session import BROADCAST_ROWS, cut
 
 #: A key with more than this share of all references is heavy; so there are at most 1 / share heavy keys.
 HEAVY_SHARE = 0.001
@@ -64,8 +64,7 @@ def orphan_references(
     r = references.withColumn("__key", F.col(key)).withColumn("__at", F.col(at).cast("timestamp")).where("__key is not null")
     totals = r.groupBy("__key", quarter(F.col("__at")).alias("period")).agg(F.count(F.lit(1)).alias("n"))
     per_key = totals.groupBy("__key").agg(F.sum("n").alias("n"))
-    total = totals.agg(F.sum("n")).first()[0] or 0
-    heavy = per_key.where(F.col("n") > F.lit(max(1.0, total * heavy_share))).select("__key")
+    heavy = cut(per_key.where(F.col("n") > F.lit(max(1.0, r.count() * heavy_share))).select("__key"), "heavy")
 
     periods = standing_periods(targets, key, target_start, target_end)
     known = targets.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.col(target_start).cast("timestamp")).alias("__first"))
