@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.functions.cells import cell, line_cells
+from stratalog.functions.cells import line_cells
 from stratalog.operators.joins import guarded_join
 
 _DECIMAL = r"^-?[0-9]+(\.[0-9]+)?$"
@@ -57,12 +57,28 @@ FORMATS = {
 }
 
 
-def split_lines(lines: DataFrame, loads: DataFrame, load_key: str, line: str) -> DataFrame:
+def _ruled_columns(formats: dict) -> Column:
+    """Per load: name, place and second place (from 0, null if the header lacks it) of each column with a rule."""
+    at = lambda label: F.nullif(F.array_position(F.col("header"), F.lit(label)), F.lit(0).cast("long")).cast("int") - 1
+    ruled = F.array().cast("array<struct<name:string,at:int,second:int>>")
+    for code, columns in formats.items():
+        places = []
+        for name in columns:
+            first, _, second = name.partition("|")
+            places.append(F.struct(F.lit(name).alias("name"), at(first).alias("at"), (at(second) if second else F.lit(None).cast("int")).alias("second")))
+        ruled = F.when(F.col("table_code") == code, F.array(*places)).otherwise(ruled)
+    return ruled
+
+
+def split_lines(lines: DataFrame, loads: DataFrame, load_key: str, line: str, formats: dict | None = None) -> DataFrame:
     """lines with their load's code and header, their cells, and `structure`: null, quoting or field_count.
 
     A final carriage return is no content. A null line, and a line whose load is unknown or has no header, is a field_count case.
+    The places of the columns with rules are found once per load.
     """
-    heads = loads.select(load_key, F.col("table_code").alias("__code"), F.col("delimiter").alias("__delimiter"), F.col("header").alias("__header")).dropDuplicates([load_key])
+    heads = loads.select(
+        load_key, F.col("table_code").alias("__code"), F.col("delimiter").alias("__delimiter"), F.col("header").alias("__header"), _ruled_columns(FORMATS if formats is None else formats).alias("__ruled")
+    ).dropDuplicates([load_key])
     joined = guarded_join(lines, heads, [load_key], "left")
     text = F.when(F.col(line).endswith("\r"), F.expr(f"substring(`{line}`, 1, length(`{line}`) - 1)")).otherwise(F.col(line))
     cells = joined.withColumn("__cells", line_cells(text, F.coalesce("__delimiter", F.lit("\t"))))
@@ -72,20 +88,16 @@ def split_lines(lines: DataFrame, loads: DataFrame, load_key: str, line: str) ->
     return cells.withColumn("structure", structure)
 
 
-def _checked_cells(rows: DataFrame, keys: list[str], formats: dict) -> DataFrame:
-    """keys, code, column, text of every cell that has a rule, of structurally sound rows."""
-    of = F.lit(None).cast("array<struct<column:string,text:string>>")
-    for code, columns in formats.items():
-        texts = []
-        for name in columns:
-            if "|" in name:
-                a, b = name.split("|")
-                text = F.concat(cell(F.col("__cells"), F.col("__header"), a), F.lit("|"), F.octet_length(cell(F.col("__cells"), F.col("__header"), b)).cast("string"))
-            else:
-                text = cell(F.col("__cells"), F.col("__header"), name)
-            texts.append(F.struct(F.lit(name).alias("column"), F.coalesce(text, F.lit("")).alias("text")))
-        of = F.when(F.col("__code") == code, F.array(*texts)).otherwise(of)
-    return rows.where(F.col("structure").isNull()).select(*keys, F.col("__code").alias("code"), F.inline(of))
+def _checked_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, code, column, text of every cell that has a rule, of structurally sound rows. A pair's text is `a|bytes of b`."""
+
+    def checked(column: Column) -> Column:
+        text = F.coalesce(F.get("__cells", column["at"]), F.lit(""))
+        size = F.coalesce(F.octet_length(F.get("__cells", column["second"])), F.lit(0)).cast("string")
+        pair = column["name"].contains("|")
+        return F.struct(column["name"].alias("column"), F.when(pair, F.concat(text, F.lit("|"), size)).otherwise(text).alias("text"))
+
+    return rows.where(F.col("structure").isNull()).select(*keys, F.col("__code").alias("code"), F.inline(F.transform("__ruled", checked)))
 
 
 def invalid_values(cells: DataFrame, formats: dict) -> DataFrame:
@@ -108,8 +120,8 @@ def parse_failures(lines: DataFrame, loads: DataFrame, load_key: str, keys: list
     Codes without formats are checked for structure only. Empty tables give no rows; further columns are ignored.
     """
     formats = FORMATS if formats is None else formats
-    rows = split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line)
-    cells = _checked_cells(rows, keys, formats)
+    rows = split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line, formats)
+    cells = _checked_cells(rows, keys)
     bad = guarded_join(cells, invalid_values(cells, formats), ["code", "column", "text"])
     values = bad.groupBy(*keys).agg(F.min(F.concat("column", F.lit(": "), "rule")).alias("detail")).select(*keys, F.lit("invalid_value").alias("reason"), "detail")
     structural = rows.where(F.col("structure").isNotNull()).select(*keys, F.col("structure").alias("reason"), F.lit(None).cast("string").alias("detail"))
@@ -118,7 +130,7 @@ def parse_failures(lines: DataFrame, loads: DataFrame, load_key: str, keys: list
 
 def loaded_rows(lines: DataFrame, loads: DataFrame, load_key: str, keys: list[str], line: str, formats: dict | None = None) -> DataFrame:
     """keys, table_code and record (map of label to cell) of every line that parse_failures does not name."""
-    rows = split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line).where(F.col("structure").isNull())
+    rows = split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line, formats).where(F.col("structure").isNull())
     failed = parse_failures(lines, loads, load_key, keys, line, formats).where("reason = 'invalid_value'").select(*keys)
     good = guarded_join(rows, failed, keys, "left_anti")
     return good.select(*keys, F.col("__code").alias("table_code"), F.map_from_arrays("__header", "__cells").alias("record"))
