@@ -66,9 +66,9 @@ def orphan_references(
     per_key = totals.groupBy("__key").agg(F.sum("n").alias("n"))
     heavy = cut(per_key.where(F.col("n") > F.lit(max(1.0, r.count() * heavy_share))).select("__key"), "heavy")
 
-    periods = standing_periods(targets, key, target_start, target_end)
+    periods = standing_periods(targets, key, target_start, target_end).withColumnsRenamed({"s": "__s", "e": "__e"})
     known = targets.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.col(target_start).cast("timestamp")).alias("__first"))
-    stood = (F.col("__at") >= F.col("s")) & (F.col("__at") < F.col("e")) | F.col("__at").isNull()
+    stood = (F.col("__at") >= F.col("__s")) & (F.col("__at") < F.col("__e")) | F.col("__at").isNull()
 
     def reasoned(rows: DataFrame) -> DataFrame:
         return rows.withColumn("reason", F.when(F.col("__known").isNull(), "missing").when(F.col("__first") > F.col("__at"), "late").otherwise("deleted"))
@@ -81,7 +81,7 @@ def orphan_references(
             left = guarded_join(rows, spans, ["__key"], "left_anti", broadcast_rows, extra=stood)
             left = left.join(F.broadcast(own), "__key", "left")
         else:
-            spans = periods.select(F.col("__key").alias("__k"), "s", "e")
+            spans = periods.withColumnRenamed("__key", "__k")
             left = rows.join(spans, (F.col("__key") == F.col("__k")) & stood, "left_anti").join(own, "__key", "left")
         return reasoned(left).where(F.col("__at").isNotNull() | (F.col("reason") == "missing"))
 
