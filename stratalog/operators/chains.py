@@ -58,21 +58,26 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(best).select(*[c if c in keys else F.col(f"__best.{c}").alias(c) for c in df.columns])
 
 
-def chain_heads(df: DataFrame, id_column: str = "id", supersedes: str = "supersedes_id", depth: int = 64) -> DataFrame:
-    """root, head, length of every chain, by doubling the known steps; forks end in several heads, cycles raise."""
-    step = df.where(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias("at"), F.col(id_column).alias("to"))
-    roots = df.where(F.col(supersedes).isNull()).select(F.col(id_column).alias("root"))
-    walk, done, length = roots.select("root", F.col("root").alias("head")), None, 1
+def chain_heads(df: DataFrame, id_column: str = "id", supersedes: str = "supersedes_id", depth: int = 1 << 20) -> DataFrame:
+    """root, head, length of every chain; a forked chain has several heads. Known steps double each round, so depth costs log2(depth) joins.
+
+    Chains longer than depth raise, as do cycles that a root leads into; rows on a cycle without a root have no chain.
+    """
+    step = df.where(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias("node"), F.col(id_column).alias("goal")).distinct()
+    ends = df.select(F.col(id_column).alias("node")).distinct().join(step.select("node").distinct(), "node", "left_anti")
+    roots = df.where(F.col(supersedes).isNull()).select(F.col(id_column).alias("node")).distinct()
+    reach = step.select("node", "goal", F.lit(1).cast("long").alias("steps")).unionByName(ends.select("node", F.col("node").alias("goal"), F.lit(0).cast("long").alias("steps")))
+    span = 1
     while True:
-        walk = cut(walk, "walk")
-        ended = walk.join(step, F.col("head") == F.col("at"), "left_anti").withColumn("length", F.lit(length))
-        done = ended if done is None else done.unionByName(ended)
-        walk = walk.join(step, F.col("head") == F.col("at")).select("root", F.col("to").alias("head"))
-        length += 1
-        if walk.isEmpty():
-            return done
-        if length > depth:
-            raise ValueError(f"a chain is longer than {depth} rows or a cycle")
+        reach = cut(reach, "reach")
+        open_roots = reach.join(roots, "node", "left_semi").join(step.select(F.col("node").alias("goal")).distinct(), "goal", "left_semi")
+        if open_roots.isEmpty():
+            return reach.join(roots, "node", "left_semi").select(F.col("node").alias("root"), F.col("goal").alias("head"), (F.col("steps") + 1).alias("length"))
+        if span > depth:
+            raise ValueError(f"a chain is longer than {depth} rows or leads into a cycle")
+        further = reach.select(F.col("node").alias("goal"), F.col("goal").alias("__goal"), F.col("steps").alias("__steps"))
+        reach = reach.join(further, "goal").select("node", F.col("__goal").alias("goal"), (F.col("steps") + F.col("__steps")).alias("steps")).distinct()
+        span *= 2
 
 
 def insert_absent(source: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
