@@ -101,3 +101,23 @@ def fact_groups(rows: DataFrame, keys: Sequence[str], id_column: str, role: str,
         same = this if same is None else same & this
     joined = shaped.join(distinct.select(*[F.col(k).alias(f"__{k}") for k in keys], "n_distinct"), same)
     return joined.where("n_measures = n_distinct").select(*keys, "balance_id", "spread_id", "pik_id")
+
+
+def bind_by_fields(left: DataFrame, right: DataFrame, left_id: str, right_id: str, scope: Sequence[str]) -> DataFrame:
+    """left_id, outcome, matched: BOUND to the one right record of the same scope with which every common field agrees, at least one.
+
+    left and right are long: id, scope, field, value. NO_ROW: no record of the scope agrees; SEVERAL_ROWS: more than one does; SHARED_ROW: the
+    record is claimed by several left records, then none of them is bound. Records meet on equal values only, never pairwise within
+    a scope; that they disagree nowhere is then read off the counts of common fields. A field repeated in a record counts once if it agrees with itself.
+    """
+    s = list(scope)
+    own = lambda df, id_, name: df.groupBy(*s, F.col(id_).alias(name), "field").agg(F.count_distinct("value").alias("n"), F.min("value").alias("value")).where("n = 1").drop("n")
+    l, r = own(left, left_id, "l"), own(right, right_id, "r")  # noqa: E741
+    names = lambda df, id_, name: df.groupBy(*s, id_).agg(F.collect_set("field").alias(name))
+    equal = l.join(r, [*s, "field", "value"]).groupBy(*s, "l", "r").agg(F.count(F.lit(1)).alias("n"))
+    checked = equal.join(names(l, "l", "lf"), [*s, "l"]).join(names(r, "r", "rf"), [*s, "r"]).where(F.col("n") == F.size(F.array_intersect("lf", "rf")))
+    per = checked.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r"))
+    bound = reject_shared(per.select("l", "n", F.when(F.col("n") == 1, F.col("r")).alias("matched")), "matched")
+    outcome = F.when(F.col("n").isNull(), "NO_ROW").when(F.col("n") > 1, "SEVERAL_ROWS").when(F.col("shared"), "SHARED_ROW").otherwise("BOUND")
+    everyone = left.select(F.col(left_id).alias("l")).distinct()
+    return everyone.join(bound, "l", "left").select(F.col("l").alias(left_id), outcome.alias("outcome"), "matched")
