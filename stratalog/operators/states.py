@@ -89,3 +89,17 @@ def cell_presence(df: DataFrame, entity: Sequence[str], group: Sequence[str], ce
     flags = df.groupBy(*group, *entity).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in cells.items()])
     counts = [x for n in cells for x in (F.count_if(F.col(n)).alias(f"with_{n}"), F.count_if(~F.col(n)).alias(f"without_{n}"))]
     return flags.groupBy(*group).agg(*counts)
+
+
+def pivot_heads(df: DataFrame, keys: Sequence[str], field: str, fields: dict[str, str], state: str, value: str) -> DataFrame:
+    """One row per key with <name>_state and <name>_value of each field (code: name), by the exactly-one-head rule, in one aggregation.
+
+    A field without a row is UNKNOWN, with several rows MULTIPLE_VALUES (even if they agree), else it has its row's state; only a REPORTED one has a value.
+    """
+    columns = []
+    for code, name in fields.items():
+        own = F.col(field) == code
+        s, v = F.when(own, F.col(state)), F.when(own, F.col(value))
+        told = four_state(s, v)
+        columns += [told.alias(f"{name}_state"), F.when(told == "REPORTED", F.min(v)).alias(f"{name}_value")]
+    return df.groupBy(*keys).agg(*columns)

@@ -243,3 +243,110 @@ SELECT root, goal AS head, n::BIGINT AS length FROM w WHERE NOT EXISTS (SELECT 1
 def event_chain_heads(spark, sf):
     log = chains.previous_in_group(table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], ["ts", "event_id"], "event_id")
     return chains.chain_heads(log, "event_id")
+
+
+# Schedule rows as positions -----------------------------------------------------------------------------------------
+
+_NUMBER = "CASE WHEN regexp_full_match({0}, '-?[0-9]+(\\.[0-9]+)?') THEN {0}::DECIMAL(38,10)::DOUBLE END"
+_POSITIONS = (
+    "WITH p AS (SELECT tabular_row_id, CASE WHEN length(regexp_replace(cells[1], '[^0-9]', '', 'g')) = 18 THEN regexp_replace(cells[1], '[^0-9]', '', 'g') END AS accession, cells[4] AS reported_date, nullif(cells[12], '') AS identifier, "
+    + ", ".join(f"CASE WHEN cells[{i}] = '' THEN 'UNKNOWN' ELSE 'REPORTED' END AS {n}_state, {_NUMBER.format(f'cells[{i}]')} AS {n}_value" for i, n in ((18, "principal"), (19, "cost"), (20, "fair_value")))
+    + " FROM ok_row JOIN table_load USING (table_load_id) WHERE table_code = 'SOI' AND len(cells) = len(header))\n"
+)
+_FIELDS = {"Investment Owned, Balance, Principal Amount": "principal", "Investment Owned, Cost": "cost", "Investment Owned, Fair Value": "fair_value"}
+
+
+def _positions(spark, sf):
+    """One row per schedule line: identity and, per amount, the state and value of its one current field row."""
+    rows = _ok_rows(spark, sf).where("table_code = 'SOI' and size(cells) = size(header)")
+    from stratalog.functions.cells import cell
+
+    at = lambda label: cell(F.col("cells"), F.col("header"), label)
+    long = rows.select(
+        "tabular_row_id", accession18(at("adsh")).alias("accession"), at("ddate").alias("reported_date"), F.nullif(at("Investment, Identifier Axis"), F.lit("")).alias("identifier"),
+        F.explode(F.array(*[F.struct(F.lit(label).alias("field"), at(label).alias("raw")) for label in _FIELDS])).alias("f"),
+    )
+    long = long.select("tabular_row_id", "accession", "reported_date", "identifier", "f.field", F.when(F.col("f.raw") == "", "UNKNOWN").otherwise("REPORTED").alias("state"), F.col("f.raw").try_cast("decimal(38,10)").alias("value"))
+    return states.pivot_heads(long, ["tabular_row_id", "accession", "reported_date", "identifier"], "field", _FIELDS, "state", "value")
+
+
+@query(_POSITIONS + "SELECT tabular_row_id, accession, reported_date, identifier, principal_state, principal_value, cost_state, cost_value, fair_value_state, fair_value_value FROM p")
+def position_read(spark, sf):
+    p = _positions(spark, sf)
+    return p.select(*[F.col(c).cast("double").alias(c) if c.endswith("_value") else F.col(c) for c in p.columns])
+
+
+@query(
+    _POSITIONS
+    + """SELECT accession, reported_date, count(*) AS n_lines, count(identifier) AS n_identified, count(fair_value_value) AS n_fair_value,
+CASE WHEN count(fair_value_value) < count(*) THEN 'INCOMPLETE' ELSE 'TOTAL' END AS fair_value_state, CASE WHEN count(fair_value_value) = count(*) THEN sum(fair_value_value::DECIMAL(38,10))::DOUBLE END AS fair_value_total
+FROM p GROUP BY accession, reported_date"""
+)
+def portfolio_summary(spark, sf):
+    state, total, _ = states.guarded_total(F.col("fair_value_value"), F.col("fair_value_state") == "REPORTED", F.lit("USD"))
+    return _positions(spark, sf).groupBy("accession", "reported_date").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count("identifier").alias("n_identified"), F.count("fair_value_value").alias("n_fair_value"), state.alias("fair_value_state"), total.cast("double").alias("fair_value_total")
+    )
+
+
+@query(_POSITIONS + "SELECT tabular_row_id, round(fair_value_value / nullif(cost_value, 0), 6) AS value_to_cost, round(fair_value_value / nullif(principal_value, 0), 6) AS value_to_principal FROM p")
+def position_valuation(spark, sf):
+    value, cost, principal = (F.col(f"{n}_value") for n in ("fair_value", "cost", "principal"))
+    return _positions(spark, sf).select("tabular_row_id", periods.ratio(value, cost).alias("value_to_cost"), periods.ratio(value, principal).alias("value_to_principal"))
+
+
+@query(
+    _POSITIONS
+    + """SELECT tabular_row_id, 'NO_VALUE' AS signal, identifier AS value FROM p WHERE fair_value_value IS NULL UNION ALL SELECT tabular_row_id, 'BELOW_COST', identifier FROM p WHERE fair_value_value < cost_value
+UNION ALL SELECT tabular_row_id, 'NO_IDENTIFIER', NULL FROM p WHERE identifier IS NULL"""
+)
+def position_signals(spark, sf):
+    from stratalog.operators.reading import signals
+
+    name = F.col("identifier")
+    cases = {"NO_VALUE": (F.col("fair_value_value").isNull(), name), "BELOW_COST": (F.col("fair_value_value") < F.col("cost_value"), name), "NO_IDENTIFIER": (name.isNull(), F.lit(None).cast("string"))}
+    return signals(_positions(spark, sf), ["tabular_row_id"], cases)
+
+
+@query(
+    """SELECT registrant_id, string_agg(DISTINCT normalized_value, '|' ORDER BY normalized_value) AS aliases, count(DISTINCT artifact_id) AS n_artifacts, CASE WHEN count(DISTINCT normalized_value) = 1 THEN min(normalized_value) END AS label
+FROM rfact WHERE attribute_code = 'STATE' GROUP BY registrant_id HAVING bool_or(contains(lower(normalized_value), 'n'))"""
+)
+def alias_search(spark, sf):
+    from stratalog.operators.reading import alias_search as search
+
+    rows = table(spark, sf, "rfact").where("attribute_code = 'STATE'")
+    found = search(rows, ["registrant_id"], "normalized_value", "N", {"n_artifacts": F.col("artifact_id")})
+    return found.select("registrant_id", F.array_join("aliases", "|").alias("aliases"), "n_artifacts", "label")
+
+
+@query(
+    """WITH r AS (SELECT registrant_id, attribute_code, source_as_of, normalized_value FROM rfact WHERE source_as_of IS NOT NULL QUALIFY row_number() OVER (PARTITION BY registrant_id, attribute_code, source_as_of ORDER BY recorded_at DESC, rfact_id DESC) = 1),
+m AS (SELECT *, sum(n) OVER (PARTITION BY registrant_id, attribute_code ORDER BY source_as_of) AS band FROM (SELECT *, CASE WHEN lag(source_as_of) OVER w IS NULL OR lag(normalized_value) OVER w IS DISTINCT FROM normalized_value THEN 1 ELSE 0 END AS n FROM r WINDOW w AS (PARTITION BY registrant_id, attribute_code ORDER BY source_as_of)))
+SELECT registrant_id, attribute_code, band::BIGINT AS band, min(normalized_value) AS normalized_value, count(*) AS n FROM m GROUP BY registrant_id, attribute_code, band"""
+)
+def value_bands(spark, sf):
+    from stratalog.operators.reading import bands
+
+    facts = table(spark, sf, "rfact").where("source_as_of is not null").select("registrant_id", "attribute_code", "source_as_of", "recorded_at", "rfact_id", "normalized_value")
+    latest = chains.latest_by(facts, ["registrant_id", "attribute_code", "source_as_of"], ["recorded_at", "rfact_id"])
+    return bands(latest, ["registrant_id", "attribute_code"], ["source_as_of"], "normalized_value")
+
+
+@query("SELECT registrant_id, count(*) AS n_filings, string_agg(accession_number || ':' || (withdrawn_at IS NULL)::VARCHAR, ',' ORDER BY filing_id) AS filings FROM filing GROUP BY registrant_id")
+def registrant_documents(spark, sf):
+    """Read back from the nested documents, so that their JSON is what is compared."""
+    from stratalog.operators.reading import documents
+
+    rows = table(spark, sf, "filing").select("registrant_id", "filing_id", "accession_number", F.col("withdrawn_at").isNull().alias("stands"))
+    made = documents(rows, ["registrant_id"], ["accession_number", "stands"], ["filing_id"])
+    items = F.from_json("json", "items array<struct<accession_number:string,stands:boolean>>")["items"]
+    return made.select("registrant_id", F.size(items).cast("long").alias("n_filings"), F.array_join(F.transform(items, lambda x: F.concat(x["accession_number"], F.lit(":"), x["stands"].cast("string"))), ",").alias("filings"))
+
+
+@query("SELECT sub_row_id FROM sub_filing WHERE length(regexp_replace(adsh, '[^0-9]', '', 'g')) = 18 AND regexp_replace(adsh, '[^0-9]', '', 'g') NOT IN (SELECT regexp_replace(accession_number, '[^0-9]', '', 'g') FROM filing)")
+def missing_parents(spark, sf):
+    from stratalog.operators.integrity import missing_parents as check
+
+    rows = table(spark, sf, "sub_filing").select("sub_row_id", accession18(F.col("adsh")).alias("accession"))
+    return check(rows, "accession", table(spark, sf, "filing").select(accession18(F.col("accession_number")).alias("k")), "k").select("sub_row_id")
