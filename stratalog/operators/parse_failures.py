@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.cells import line_cells
 from stratalog.operators.joins import guarded_join
+from stratalog.session import cut
 
 _DECIMAL = r"^-?[0-9]+(\.[0-9]+)?$"
 
@@ -122,7 +123,7 @@ def parse_failures(lines: DataFrame, loads: DataFrame, load_key: str, keys: list
     formats = FORMATS if formats is None else formats
     rows = split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line, formats)
     cells = _checked_cells(rows, keys)
-    bad = guarded_join(cells, invalid_values(cells, formats), ["code", "column", "text"])
+    bad = guarded_join(cells, cut(invalid_values(cells, formats), "invalid"), ["code", "column", "text"])
     values = bad.groupBy(*keys).agg(F.min(F.concat("column", F.lit(": "), "rule")).alias("detail")).select(*keys, F.lit("invalid_value").alias("reason"), "detail")
     structural = rows.where(F.col("structure").isNotNull()).select(*keys, F.col("structure").alias("reason"), F.lit(None).cast("string").alias("detail"))
     return structural.unionByName(values)
