@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def three_state(value: Column) -> Column:
-    """Aggregate: UNKNOWN without any value, MULTIPLE_VALUES with several different ones, else REPORTED."""
-    n = F.count_distinct(value)
-    return F.when(n == 0, "UNKNOWN").when(n > 1, "MULTIPLE_VALUES").otherwise("REPORTED")
+    """Aggregate: UNKNOWN without any value, MULTIPLE_VALUES with several different ones, else REPORTED.
+
+    Least and greatest tell one value from several, so many such columns need neither distinct counts nor copies of the rows.
+    """
+    return F.when(F.min(value).isNull(), "UNKNOWN").when(F.min(value) != F.max(value), "MULTIPLE_VALUES").otherwise("REPORTED")
 
 
 def four_state(state: Column, value: Column) -> Column:
@@ -28,7 +30,7 @@ def exactly_one(value: Column, rows: Column | None = None) -> Column:
 
 def single_value(value: Column) -> Column:
     """Aggregate: the value if all known ones are equal, else null."""
-    return F.when(F.count_distinct(value) == 1, F.min(value))
+    return F.when(F.min(value) == F.max(value), F.min(value))
 
 
 def guarded_total(value: Column, ok: Column, unit: Column) -> tuple[Column, Column, Column]:
@@ -41,10 +43,10 @@ def guarded_total(value: Column, ok: Column, unit: Column) -> tuple[Column, Colu
         F.when(F.count(F.lit(1)) == 0, "EMPTY")
         .when(~whole, "INCOMPLETE")
         .when(F.count(unit) < F.count(F.lit(1)), "UNKNOWN_UNIT")
-        .when(F.count_distinct(unit) > 1, "MIXED_UNITS")
+        .when(F.min(unit) != F.max(unit), "MIXED_UNITS")
         .otherwise("TOTAL")
     )
-    good = whole & (F.count(unit) == F.count(F.lit(1))) & (F.count_distinct(unit) == 1)
+    good = whole & (F.count(unit) == F.count(F.lit(1))) & (F.min(unit) == F.max(unit))
     return state, F.when(good, F.sum(value)), F.when(good, F.min(unit))
 
 
