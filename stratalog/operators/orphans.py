@@ -63,8 +63,9 @@ def orphan_references(
     """
     r = references.withColumn("__key", F.col(key)).withColumn("__at", F.col(at).cast("timestamp")).where("__key is not null")
     totals = r.groupBy("__key", quarter(F.col("__at")).alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    per_key = totals.groupBy("__key").agg(F.sum("n").alias("n"))
-    heavy = cut(per_key.where(F.col("n") > F.lit(max(1.0, r.count() * heavy_share))).select("__key"), "heavy")
+    per_key = cut(totals.groupBy("__key").agg(F.sum("n").alias("n")), "per_key")
+    n_references = per_key.agg(F.sum("n")).first()[0] or 0
+    heavy = cut(per_key.where(F.col("n") > F.lit(max(1.0, n_references * heavy_share))).select("__key"), "heavy")
 
     periods = standing_periods(targets, key, target_start, target_end).withColumnsRenamed({"s": "__s", "e": "__e"})
     known = targets.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.col(target_start).cast("timestamp")).alias("__first"))

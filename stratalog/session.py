@@ -55,7 +55,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratalog-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.is_cut = True
+    return made
+
+
+def once(df: DataFrame, label: str) -> DataFrame:
+    """df itself if it is such a table already, else cut."""
+    return df if getattr(df, "is_cut", False) is True else cut(df, label)
 
 
 def release(spark: SparkSession) -> None:
