@@ -178,7 +178,7 @@ CASE WHEN try_cast(regexp_extract(identifier_raw, 'due ([0-9]{1,2})/([0-9]{4})$'
 )
 def maturity_years(spark, sf):
     """Disclosed maturities by precision and year; a month is never made a day."""
-    date = vx.disclosed_date(F.regexp_extract("identifier_raw", r"due ([0-9]{1,2}/[0-9]{4})$", 1))
+    date = vx.disclosed_date(F.regexp_extract("identifier_raw", r"due ([0-9]{1,2}/[0-9]{4})\z", 1))
     rows = table(spark, sf, "soi_row_observation").where("identifier_raw is not null").select(date.alias("date"))
     return rows.groupBy(F.coalesce("date.precision", F.lit("NONE")).alias("precision"), F.col("date.year").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 

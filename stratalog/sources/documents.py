@@ -26,7 +26,7 @@ def submissions(documents: DataFrame, text: str = "text") -> DataFrame:
     parsed = documents.withColumn("main", F.from_json(text, _MAIN))
     recent = F.col("main.filings.recent")
     sizes = F.array_distinct(F.array(*[F.size(recent[n]) for n in FILING_ARRAYS]))
-    problem = F.when(F.col("main.cik").isNull(), "NOT_JSON").when(~F.col("main.cik").rlike("^[0-9]{10}$"), "BAD_CIK").when(F.size(sizes) != 1, "UNEQUAL_ARRAYS")
+    problem = F.when(F.col("main.cik").isNull(), "NOT_JSON").when(~F.col("main.cik").rlike(r"^[0-9]{10}\z"), "BAD_CIK").when(F.size(sizes) != 1, "UNEQUAL_ARRAYS")
     return parsed.withColumn("problem", problem)
 
 
@@ -60,7 +60,7 @@ def page_anchors(pages: DataFrame, key: str, html: str, pattern: str = r'<a\s[^>
 
 def release_anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Anchors that name an archive `<label>_bdc.zip`, with label and window (cadence, starts, ends)."""
-    anchors = page_anchors(pages, key, html).withColumn("release", F.regexp_extract("href", r"/([0-9]{4}(?:q[1-4]|_[0-9]{2}))_bdc\.zip$", 1)).where("release <> ''")
+    anchors = page_anchors(pages, key, html).withColumn("release", F.regexp_extract("href", r"/([0-9]{4}(?:q[1-4]|_[0-9]{2}))_bdc\.zip\z", 1)).where("release <> ''")
     return anchors.select(key, "pos", "href", F.col("release"), release_window(F.col("release")).alias("window"))
 
 
