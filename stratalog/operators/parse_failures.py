@@ -11,7 +11,7 @@ from stratalog.functions.cells import line_cells
 from stratalog.operators.joins import guarded_join
 from stratalog.session import cut
 
-_DECIMAL = r"^-?[0-9]+(\.[0-9]+)?$"
+_DECIMAL = r"^-?[0-9]+(\.[0-9]+)?\z"
 
 
 def _day(pattern: str, form: str) -> Callable:
@@ -22,28 +22,28 @@ def _optional(rule):
     return lambda v: (v == "") | rule(v)
 
 
-_iso_day = _day(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd")
+_iso_day = _day(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z", "yyyy-MM-dd")
 _decimal = lambda v: v.rlike(_DECIMAL)
 
 
 def _this_century(v: Column) -> Column:
     day = F.concat(F.lit("20"), F.substring(v, 7, 2), F.lit("-"), F.substring(v, 1, 2), F.lit("-"), F.substring(v, 4, 2))
-    return v.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{2}$") & F.try_to_date(day, "yyyy-MM-dd").isNotNull()
+    return v.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{2}\z") & F.try_to_date(day, "yyyy-MM-dd").isNotNull()
 
 
 #: Rules that a cell's text may have to meet; each is judged once per distinct text.
 RULES = {
-    "accession": lambda v: v.rlike(r"^[0-9]{10}-[0-9]{2}-[0-9]{6}$"),
-    "cik": lambda v: v.rlike(r"^[0-9]{1,10}$"),
-    "cik10": lambda v: v.rlike(r"^[0-9]{10}$"),
-    "digits": lambda v: v.rlike(r"^[0-9]+$"),
+    "accession": lambda v: v.rlike(r"^[0-9]{10}-[0-9]{2}-[0-9]{6}\z"),
+    "cik": lambda v: v.rlike(r"^[0-9]{1,10}\z"),
+    "cik10": lambda v: v.rlike(r"^[0-9]{10}\z"),
+    "digits": lambda v: v.rlike(r"^[0-9]+\z"),
     "filled": lambda v: v != "",
     "iso_day": _iso_day,
     "iso_day_or_empty": _optional(_iso_day),
-    "compact_day": _day(r"^[0-9]{8}$", "yyyyMMdd"),
+    "compact_day": _day(r"^[0-9]{8}\z", "yyyyMMdd"),
     "us_day": _this_century,
     "decimal_or_empty": _optional(_decimal),
-    "byte_length": lambda v: F.substring_index(v, "|", 1).rlike(r"^[0-9]+$")
+    "byte_length": lambda v: v.rlike(r"^[0-9]+[|][0-9]+\z")
     & F.substring_index(v, "|", 1).try_cast("decimal(38,0)").eqNullSafe(F.substring_index(v, "|", -1).try_cast("decimal(38,0)")),
 }
 
@@ -89,8 +89,11 @@ def split_lines(lines: DataFrame, loads: DataFrame, load_key: str, line: str, fo
     return cells.withColumn("structure", structure)
 
 
-def _checked_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, code, column, text of every cell that has a rule, of structurally sound rows. A pair's text is `a|bytes of b`."""
+def _findings(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, code, column, text: every cell that has a rule of the structurally sound rows, and of the others one row with a null column and what is wrong as text.
+
+    A pair's text is `a|bytes of b`. One pass over the split lines gives both kinds.
+    """
 
     def checked(column: Column) -> Column:
         text = F.coalesce(F.get("__cells", column["at"]), F.lit(""))
@@ -98,7 +101,9 @@ def _checked_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
         pair = column["name"].contains("|")
         return F.struct(column["name"].alias("column"), F.when(pair, F.concat(text, F.lit("|"), size)).otherwise(text).alias("text"))
 
-    return rows.where(F.col("structure").isNull()).select(*keys, F.col("__code").alias("code"), F.inline(F.transform("__ruled", checked)))
+    broken = F.array(F.struct(F.lit(None).cast("string").alias("column"), F.col("structure").alias("text")))
+    told = F.when(F.col("structure").isNull(), F.transform("__ruled", checked)).otherwise(broken)
+    return rows.select(*keys, F.col("__code").alias("code"), F.inline(told))
 
 
 def invalid_values(cells: DataFrame, formats: dict) -> DataFrame:
@@ -117,21 +122,28 @@ def parse_failures(lines: DataFrame, loads: DataFrame, load_key: str, keys: list
 
     loads has load_key, table_code, delimiter and header (array<string>). Structure is checked on the whole line; values
     are judged once per distinct text and column (map-side combined), and the dictionary of invalid ones is joined
-    back: broadcast after a count, else by a salted join, so a text that a third of the rows hold stays harmless.
+    back: broadcast after a count, else by a join that splits hot texts, so a text that a third of the rows hold stays harmless.
+    The lines are read, and split, once: their checked cells and their structural faults come from one pass and are written down.
     Codes without formats are checked for structure only. Empty tables give no rows; further columns are ignored.
     """
     formats = FORMATS if formats is None else formats
     rows = split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line, formats)
-    cells = _checked_cells(rows, keys)
+    return _failures(rows, keys, formats)
+
+
+def _failures(rows: DataFrame, keys: list[str], formats: dict) -> DataFrame:
+    found = cut(_findings(rows, keys), "findings")
+    cells = found.where("column is not null")
     bad = guarded_join(cells, cut(invalid_values(cells, formats), "invalid"), ["code", "column", "text"])
     values = bad.groupBy(*keys).agg(F.min(F.concat("column", F.lit(": "), "rule")).alias("detail")).select(*keys, F.lit("invalid_value").alias("reason"), "detail")
-    structural = rows.where(F.col("structure").isNotNull()).select(*keys, F.col("structure").alias("reason"), F.lit(None).cast("string").alias("detail"))
+    structural = found.where("column is null").select(*keys, F.col("text").alias("reason"), F.lit(None).cast("string").alias("detail"))
     return structural.unionByName(values)
 
 
 def loaded_rows(lines: DataFrame, loads: DataFrame, load_key: str, keys: list[str], line: str, formats: dict | None = None) -> DataFrame:
-    """keys, table_code and record (map of label to cell) of every line that parse_failures does not name."""
-    rows = split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line, formats).where(F.col("structure").isNull())
-    failed = parse_failures(lines, loads, load_key, keys, line, formats).where("reason = 'invalid_value'").select(*keys)
-    good = guarded_join(rows, failed, keys, "left_anti")
+    """keys, table_code and record (map of label to cell) of every line that parse_failures does not name. The lines are split once and written down."""
+    formats = FORMATS if formats is None else formats
+    rows = cut(split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line, formats), "lines")
+    failed = _failures(rows, keys, formats).where("reason = 'invalid_value'").select(*keys)
+    good = guarded_join(rows.where("structure is null"), failed, keys, "left_anti")
     return good.select(*keys, F.col("__code").alias("table_code"), F.map_from_arrays("__header", "__cells").alias("record"))

@@ -129,7 +129,41 @@ c AS (
   FROM r)
 """
 
+
+
+def _p6_sql() -> str:
+    """The lines with their cells and reason `why` (null: sound), by regular expressions over whole lines."""
+    cell_of = lambda d: rf'"(?:[^"]|"")*"|[^"{d}][^{d}]*|'
+    whole = lambda d: rf"regexp_full_match(s, '(?:{cell_of(d)})(?:{d}(?:{cell_of(d)}))*')"
+    cells = lambda d: rf"regexp_extract_all('{d}' || s, '{d}({cell_of(d)})', 1)"
+    g = lambda x: f"coalesce(cells[list_position(header, '{x}')], '')"
+    like = lambda x, pattern: f"regexp_full_match({g(x)}, '{pattern}')"
+    day = lambda x: like(x, "[0-9]{4}-[0-9]{2}-[0-9]{2}") + f" AND try_cast({g(x)} AS DATE) IS NOT NULL"
+    number = lambda x: like(x, r"(-?[0-9]+(\.[0-9]+)?)?")
+    adsh, qtrs = like("adsh", "[0-9]{10}-[0-9]{2}-[0-9]{6}"), like("qtrs", "[0-9]+")
+    maturity, f = "Investment Maturity Date", g("Filing Date")
+    soi = [adsh, like("cik", "[0-9]{1,10}"), day("ddate"), day("filed"), day("period"), qtrs, f"({g(maturity)} = '' OR {day(maturity)})"]
+    soi += [number(x) for x in ("Investment Owned, Balance, Principal Amount", "Investment Owned, Cost", "Investment Owned, Fair Value")]
+    num = [adsh, *[f"{g(x)} <> ''" for x in ("tag", "version", "uom")], like("ddate", "[0-9]{8}"), f"try_strptime({g('ddate')}, '%Y%m%d') IS NOT NULL", qtrs, number("value")]
+    num += [like("footlen", "[0-9]+"), f"try_cast({g('footlen')} AS HUGEINT) = octet_length(encode({g('footnote')}))"]
+    bdc = [like("CIK", "[0-9]{10}"), f"{g('Registrant_Name')} <> ''", like("Filing Date", "[0-9]{2}/[0-9]{2}/[0-9]{2}"), f"try_cast('20' || substr({f}, 7, 2) || '-' || substr({f}, 1, 2) || '-' || substr({f}, 4, 2) AS DATE) IS NOT NULL"]
+    tab = "\\t"
+    return f"""
+WITH l AS (
+  SELECT t.table_load_id, line_number, table_code, header, delimiter AS d, raw_line, CASE WHEN raw_line LIKE '%' || chr(13) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS s
+  FROM tsv_line t LEFT JOIN table_load USING (table_load_id)),
+q AS (SELECT *, CASE WHEN d = ',' THEN {whole(',')} ELSE {whole(tab)} END AS whole, CASE WHEN d = ',' THEN {cells(',')} ELSE {cells(tab).replace(f"'{tab}' || s", "chr(9) || s")} END AS quoted FROM l),
+c AS (SELECT *, list_transform(quoted, lambda x: CASE WHEN x[1] = '"' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS cells FROM q),
+r AS (
+  SELECT table_load_id, line_number, table_code, cells, CASE WHEN raw_line IS NOT NULL AND NOT whole THEN 'quoting' WHEN raw_line IS NULL OR header IS NULL OR len(cells) <> len(header) THEN 'field_count'
+    WHEN table_code = 'SOI' AND NOT ({" AND ".join(soi)}) OR table_code = 'NUM' AND NOT ({" AND ".join(num)}) OR table_code = 'BDC_REPORT' AND NOT ({" AND ".join(bdc)}) THEN 'invalid_value' END AS why
+  FROM c)
+"""
+
+
 SQL = {
+    "p6_found": _p6_sql() + "SELECT table_load_id, line_number, why AS reason FROM r WHERE why IS NOT NULL",
+    "p6_loaded": _p6_sql() + "SELECT table_load_id, line_number, table_code, cells FROM r WHERE why IS NULL",
     "p1_found": """
 WITH d AS (
   SELECT registrant_id, attribute_code, source_as_of, normalized_value,
