@@ -11,7 +11,7 @@ from stratalog.functions.cells import split_quoted
 from stratalog.operators import orphans as orphans_module
 from stratalog.operators.copies import copy_differences
 from stratalog.operators.history import attribute_history
-from stratalog.operators.joins import guarded_join
+from stratalog.operators.joins import guarded_join, split_join
 from stratalog.operators.orphans import orphan_references, orphan_report
 from stratalog.operators.parse_failures import loaded_rows, parse_failures
 from stratalog.session import table
@@ -74,6 +74,12 @@ def test_copies_against_plain_python(spark, options):
     assert compared(spark, left, right, **options) == sorted(want)
 
 
+def test_copies_tell_nulls_from_any_text(spark):
+    for text in ("\x00null", "null", "", "0", "1"):
+        assert compared(spark, [("k", None, "b", 1)], [("k", text, "b", 1)]) == [("k", "a", "differs")]
+    assert compared(spark, [("k", "v", None, 1)], [("k", None, "v", 1)]) == [("k", "a", "differs"), ("k", "b", "differs")]
+
+
 def test_copies_edge_tables(spark):
     rows = [("k", "1", None, 1)]
     assert compared(spark, rows, rows) == compared(spark, [], []) == []
@@ -192,6 +198,18 @@ def test_failures_on_edge_rows(spark):
     assert len(parse_failures(lines, loads.limit(0), "load", ["load", "n"], "line").collect()) == len(rows)
 
 
+def test_line_ends_and_marks_in_values_are_invalid(spark):
+    header = ["a", "b"]
+    loads = spark.createDataFrame([(1, "X", ",", header)], "load long, table_code string, delimiter string, header array<string>")
+    ends = ["\u2028", "\u0085", "\r", "\u2029", " "]
+    for rule, good in (("digits", "123"), ("cik", "123"), ("cik10", "0123456789"), ("accession", "0123456789-12-123456"), ("decimal_or_empty", "-1.5"), ("iso_day", "2020-02-29"), ("compact_day", "20200229"), ("us_day", "02/29/20")):
+        lines = spark.createDataFrame([(1, n, f"{good}{end},x") for n, end in enumerate(["", *ends])], "load long, n long, line string")
+        failed = {(r.n, r.reason) for r in parse_failures(lines, loads, "load", ["load", "n"], "line", {"X": {"a": rule}}).collect()}
+        assert failed == {(n, "invalid_value") for n in range(1, len(ends) + 1)}, rule
+    lines = spark.createDataFrame([(1, n, x) for n, x in enumerate(["2,éa", "3,éa", "3|3,éa", "3\u2028,éa", "|3,éa", "-3,éa"])], "load long, n long, line string")
+    assert {r.n for r in parse_failures(lines, loads, "load", ["load", "n"], "line", {"X": {"a|b": "byte_length"}}).collect()} == {0, 2, 3, 4, 5}
+
+
 # Joins --------------------------------------------------------------------------------------------------------------
 
 
@@ -209,3 +227,11 @@ def test_guarded_join_is_the_same_salted(spark, how):
         matches = {(r.k, r.v): sum(1 for k in (0, 1, 5) for w in (1, 2) if k == r.k and r.v > w * 40) for r in many.collect()}
         want = {x: {"inner": n, "left": max(n, 1), "left_semi": min(n, 1), "left_anti": int(n == 0)}[how] for x, n in matches.items()}
         assert counts == {x: n for x, n in want.items() if n}
+
+
+def test_split_join_spreads_equal_rows_of_a_hot_key(spark):
+    many = spark.createDataFrame([("hot", 1)] * 400 + [(str(i), 1) for i in range(50)], "k string, v int")
+    few = spark.createDataFrame([("hot", 2), ("3", 2)], "k string, w int")
+    joined = split_join(many, few, ["k"], hot_share=0.1)
+    assert joined.count() == 401
+    assert many.limit(0).count() == split_join(many.limit(0), few, ["k"]).count() == split_join(many, few.limit(0), ["k"]).count() == 0
