@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import secrets
 import sys
 import unicodedata
 from functools import cache
@@ -12,19 +14,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.operators.joins import guarded_join
-from stratalog.session import cut
+from stratalog.session import BROADCAST_ROWS, cut
 
-#: Letters of the Cyrillic and Greek alphabets with the shape of a Latin letter, and that letter.
+#: Letters of the Cyrillic, Greek, Armenian, Cherokee, Lisu and Coptic alphabets that are drawn like a Latin letter, and that letter; as the
+#: Unicode confusables list them, less those that common typefaces draw apart.
 SAME_SHAPE = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "Т": "T", "У": "Y", "Х": "X", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ѵ": "V", "Ӏ": "I",
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ӏ": "l",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     "α": "a", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "ϳ": "j",
+    "Օ": "O", "Ս": "U", "զ": "q", "հ": "h", "յ": "j", "ո": "n", "ս": "u", "ց": "g", "օ": "o",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X",
 }
-#: Characters without a shape of their own, as ranges.
-INVISIBLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0000, 0xE007F), (0xE0100, 0xE01EF))
-#: Hyphens that look like the hyphen-minus.
-HYPHENS = "‐‑﹣－"
+#: Characters without a shape of their own that are no format controls (category Cf), as ranges, and the format controls that have one.
+INVISIBLE = ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0xFE00, 0xFE0F), (0xE0000, 0xE0FFF))
+VISIBLE_CONTROLS = ((0x600, 0x605), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2, 0x8E2), (0x110BD, 0x110BD), (0x110CD, 0x110CD), (0x13430, 0x1343F))
+#: Hyphens that look like the hyphen-minus, and a symbol that looks like a blank.
+HYPHENS, BLANK = "‐‑﹣－", "\u2800"
+
+
+@cache
+def invisible() -> tuple[tuple[int, int], ...]:
+    """Ranges of all characters that cannot be seen: those above, and those that are no more than another writing of one (such as the Hangul fillers)."""
+    among = lambda code, ranges: any(a <= code <= b for a, b in ranges)
+    unseen = lambda code: among(code, INVISIBLE) or unicodedata.category(chr(code)) == "Cf" and not among(code, VISIBLE_CONTROLS)
+    codes = [c for c in range(0x80, sys.maxunicode + 1) if unseen(c) or all(unseen(ord(x)) for x in unicodedata.normalize("NFKC", chr(c)))]
+    ranges: list[list[int]] = []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return tuple((a, b) for a, b in ranges)
+
+
+def _unseen(code: int) -> bool:
+    ranges = invisible()
+    at = bisect.bisect_right(ranges, (code, sys.maxunicode + 1)) - 1
+    return at >= 0 and ranges[at][0] <= code <= ranges[at][1]
 
 
 @cache
@@ -38,7 +67,7 @@ def mappings() -> tuple[dict[str, str], dict[str, str]]:
     for code in range(0x80, sys.maxunicode + 1):
         ch = chr(code)
         kind = unicodedata.category(ch)
-        if kind in ("Cn", "Co", "Cs"):
+        if kind in ("Cn", "Co", "Cs") or _unseen(code):
             continue
         if kind == "Zs" or kind in ("Zl", "Zp") or code == 0x85:
             single[ch] = " "
@@ -52,14 +81,14 @@ def mappings() -> tuple[dict[str, str], dict[str, str]]:
         form = unicodedata.normalize("NFC", "".join(SAME_SHAPE.get(x, x) for x in unicodedata.normalize("NFD", form))) if len(form) == 1 and kind[0] == "L" else form
         if form != ch and form != unicodedata.normalize("NFC", ch):
             (single if len(form) == 1 else several)[ch] = form
-    single |= {ch: "-" for ch in HYPHENS} | {ch: " " for ch in "\t\n\v\f\r"}
+    single |= {ch: "-" for ch in HYPHENS} | {ch: " " for ch in BLANK + "\t\n\v\f\r"}
     return single, several
 
 
 def visible_form(text: str) -> str:
     """The form of one text, in plain Python: for tests and for code that runs in Python anyway."""
     single, several = mappings()
-    text = "".join(x for x in text if not any(a <= ord(x) <= b for a, b in INVISIBLE))
+    text = "".join(x for x in text if ord(x) < 0x80 or not _unseen(ord(x)))
     text = "".join(several.get(x) or single.get(x, x) for x in text)
     return unicodedata.normalize("NFC", text).strip(" ")
 
@@ -70,7 +99,7 @@ def form_sql(column: str = "raw") -> str:
     single, several = mappings()
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     points = lambda a, b: f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "")
-    text = f"regexp_replace({column}, '[{''.join(points(*r) for r in INVISIBLE)}]', '', 'g')"
+    text = f"regexp_replace({column}, '[{''.join(points(*r) for r in invisible())}]', '', 'g')"
     chain = text
     for ch, form in several.items():
         chain = f"replace({chain}, {quoted(ch)}, {quoted(form)})"
@@ -84,10 +113,11 @@ def form_sql(column: str = "raw") -> str:
     return f"CASE WHEN regexp_matches({column}, '[^\\x00-\\x7F]') THEN {text} ELSE {plain} END"
 
 
-def with_form(df: DataFrame, text: str = "raw", form: str = "form") -> DataFrame:
-    """df and the visible form of a text column (null for null), computed by DuckDB on each Arrow batch of a partition."""
-    expression = form_sql(f'"{text}"')
-    schema = T.StructType([*df.schema.fields, T.StructField(form, T.StringType())])
+def _mapped(df: DataFrame, text: str, made: dict[str, str], types: dict[str, T.DataType], kept: list[str]) -> DataFrame:
+    """The kept columns of df and made ones (name: DuckDB expression on the column `text`), computed by DuckDB on each Arrow batch of a partition."""
+    schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, types[n]) for n in made]])
+    chosen = ", ".join(f'{e} AS "{n}"' for n, e in made.items())
+    arrow = {n: pa.binary() if isinstance(types[n], T.BinaryType) else pa.string() for n in made}
 
     def run(batches):
         import duckdb
@@ -97,44 +127,44 @@ def with_form(df: DataFrame, text: str = "raw", form: str = "form") -> DataFrame
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                texts = pa.table({text: batch.column(batch.schema.get_field_index(text)).cast(pa.string())})
-                db.register("batch", texts)
-                made = db.sql(f"SELECT {expression} AS form FROM batch").to_arrow_table().column("form").combine_chunks()
+                db.register("batch", pa.table({text: batch.column(batch.schema.get_field_index(text)).cast(pa.string())}))
+                told = db.sql(f"SELECT {chosen} FROM batch").to_arrow_table().combine_chunks()
                 db.unregister("batch")
-                made = made.chunk(0) if isinstance(made, pa.ChunkedArray) else made
-                yield pa.RecordBatch.from_arrays([*batch.columns, made.cast(pa.string())], names=[*batch.schema.names, form])
+                columns = [told.column(n).chunk(0).cast(arrow[n]) for n in made]
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *columns], names=[*kept, *made])
         finally:
             db.close()
 
     return df.mapInArrow(run, schema)
 
 
-def lookalike_pairs(rows: DataFrame) -> DataFrame:
+def with_form(df: DataFrame, text: str = "raw", form: str = "form") -> DataFrame:
+    """df and the visible form of a text column (null for null), computed by DuckDB on each Arrow batch of a partition."""
+    return _mapped(df, text, {form: form_sql(f'"{text}"')}, {form: T.StringType()}, df.columns)
+
+
+def lookalike_pairs(rows: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """record_kind, id_a, id_b (the smaller first) of rows in one scope whose texts look the same but differ in code points.
 
     rows: record_kind string, scope (any type; null is compared with nothing), id int64, raw string (null is ignored; blank
-    texts look alike). Copies of one text make no pairs and are collapsed first: forms are computed once per distinct text,
-    only classes with two or more different texts go on, pairs are made between the texts of a class, and only these
-    are expanded to their rows. So no step enumerates the pairs of equal copies, however many rows hold one text.
+    texts look alike). Rows are read once: DuckDB gives each its form where it lies, and from there on only 128-bit digests of text and form
+    move (made with a prefix drawn anew for each call, so that no texts can be made to collide). A class, that is a form in one scope, has two texts only
+    if a text differs from its form, so the classes of those are enough. Copies of one text make no pairs: pairs
+    are made between the texts of a class, and only these are expanded to their rows, with hot texts split. No step
+    enumerates the pairs of equal copies, however many rows hold one text.
     """
     keys = ["record_kind", "scope"]
     rows = rows.where("raw is not null and scope is not null").select(*keys, "id", "raw")
-    texts = cut(with_form(rows.select("raw").distinct()), "forms")
-    held = rows.select(*keys, "raw").distinct()
-    changed = texts.where("raw <> form")
-    # A class has two texts only if some text differs from its form, so the scopes of these texts are enough.
-    classes = held.join(changed, "raw").select(*keys, "form").distinct()
-    forms = held.join(texts, "raw")
-    live = forms.join(classes, [*keys, "form"], "left_semi")
-    live = cut(live, "classes")
-    a = live.withColumnRenamed("raw", "raw_a")
-    b = live.withColumnRenamed("raw", "raw_b")
-    pairs = a.join(b, [*keys, "form"]).where("raw_a < raw_b").select(*keys, "raw_a", "raw_b")
-    pairs = cut(pairs, "pairs")
-    left = guarded_join(rows.withColumnRenamed("raw", "raw_a").withColumnRenamed("id", "x"), pairs, [*keys, "raw_a"])
-    left = left.select(*keys, "x", "raw_b")
-    right = rows.withColumnRenamed("raw", "raw_b").withColumnRenamed("id", "y")
-    both = left.join(right, [*keys, "raw_b"])
+    digest, form, prefix = T.BinaryType(), form_sql('"raw"'), secrets.token_hex(8)
+    of = lambda x: f"unhex(md5('{prefix}' || {x}))"
+    made = {"text": of('"raw"'), "look": f"(SELECT CASE WHEN f <> \"raw\" THEN {of('f')} END FROM (SELECT {form} AS f))"}
+    looks = cut(_mapped(rows, "raw", made, {"text": digest, "look": digest}, [*keys, "id"]), "looks")
+    look = F.coalesce("look", "text").alias("look")
+    classes = looks.where("look is not null").select(*keys, "look").distinct()
+    live = cut(guarded_join(looks.select(*keys, "id", "text", look), cut(classes, "classes"), [*keys, "look"], "left_semi", broadcast_rows), "live")
+    texts = cut(live.select(*keys, "look", "text").distinct(), "texts")
+    differing = F.col("text_a") < F.col("text_b")
+    pairs = guarded_join(texts.withColumnRenamed("text", "text_a"), texts.withColumnRenamed("text", "text_b"), [*keys, "look"], "inner", broadcast_rows, differing)
+    left = guarded_join(live.select(*keys, F.col("text").alias("text_a"), F.col("id").alias("x")), pairs.select(*keys, "text_a", "text_b"), [*keys, "text_a"], "inner", broadcast_rows)
+    both = guarded_join(live.select(*keys, F.col("text").alias("text_b"), F.col("id").alias("y")), left.select(*keys, "text_b", "x"), [*keys, "text_b"], "inner", broadcast_rows)
     return both.where("x <> y").select("record_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-
-
