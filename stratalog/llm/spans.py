@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from functools import cache
+import secrets
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,43 +21,19 @@ WINDOW = 48
 PIECE = 1 << 20
 #: Fingerprints (single longs) that are broadcast after a count; beyond that they are joined by shuffle.
 BROADCAST_PRINTS = 2_000_000
-_BASE = 0x5851F42D4C957F2D
-_MASK = (1 << 64) - 1
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse modulo 2 ** 64, for i below n."""
-    made = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        steps = np.full(n, base, np.uint64)
-        steps[0] = 1
-        made.append(np.cumprod(steps, dtype=np.uint64))
-    return made[0], made[1]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+_DIGEST = ["d0", "d1"]
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class Prints:
-    """64-bit fingerprints of any substrings of one piece of text, equal for equal strings wherever they stand."""
-
-    def __init__(self, points: np.ndarray):
-        self._power, self._inverse = _powers(max(PIECE + 4096, len(points) + 1))
-        letters = _mix(points.astype(np.uint64) + np.uint64(1))
-        self._sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(letters * self._power[: len(points)], out=self._sums[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        value = (self._sums[ends] - self._sums[starts]) * self._inverse[starts]
-        return _mix(value ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+def digests(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit digests, as a long and an int, of the substrings [start, end) of one text; equal for equal strings wherever they stand."""
+    text, digest = memoryview(np.ascontiguousarray(points)).cast("B"), xxhash.xxh3_128_digest
+    made = b"".join([digest(text[a:b], seed) for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())])
+    both = np.frombuffer(made, np.dtype([("d0", ">i8"), ("d1", ">i4"), ("rest", ">i4")]))
+    return both["d0"].astype(np.int64), both["d1"].astype(np.int32)
 
 
 def gear(points: np.ndarray) -> np.ndarray:
@@ -82,7 +59,7 @@ def least(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def chunks(points: np.ndarray, span: int, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """start, end, digest, near and far of the chunks of a text.
+    """start, end, near and far of the chunks of a text.
 
     A chunk begins at a cut (the least gear hash of some `window` consecutive positions) and ends at the least gear hash
     of a later window, so both ends depend on nothing but the text between them and a few characters beyond; insertions
@@ -93,7 +70,7 @@ def chunks(points: np.ndarray, span: int, window: int = WINDOW) -> tuple[np.ndar
     reach = span - 2 * window - GEAR
     if reach < window:
         raise ValueError(f"spans must have at least {3 * window + GEAR} characters")
-    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
     last_stretch = len(points) - span
     for at in range(0, len(points), PIECE):
         before = min(at, window)
@@ -107,7 +84,7 @@ def chunks(points: np.ndarray, span: int, window: int = WINDOW) -> tuple[np.ndar
         kept = (start + reach < len(cut_of)) & (start >= before) & (start < before + PIECE)
         start, first, last = start[kept], first[kept], np.minimum(last[kept], last_stretch - (at - before))
         end = cut_of[start + reach]
-        for part, x in zip(parts, (start + (at - before), end + (at - before), Prints(piece).of(start, end), start - last, start - first)):
+        for part, x in zip(parts, (start + (at - before), end + (at - before), start - last, start - first)):
             part.append(x)
     return tuple(np.concatenate(part) for part in parts)
 
@@ -116,22 +93,26 @@ def _rows_with(texts: list[str | None], span: int) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(texts) if x is not None and len(x) >= span]
 
 
-_CHUNK = "digest long, doc long, start int, length int, near short, far short"
+_CHUNK = "d0 long, d1 int, doc long, start int, length int, near short, far short"
 
 
-def chunk_table(docs: DataFrame, span: int) -> DataFrame:
-    """digest, doc, start, length, near, far of all chunks; docs has doc and text. Texts shorter than span have none."""
+def chunk_table(docs: DataFrame, span: int, seed: int) -> DataFrame:
+    """Digest (d0, d1), doc, start, length, near, far of all chunks; docs has doc and text. Texts shorter than span have none."""
 
     def run(batches):
         for batch in batches:
-            made = [(i, *chunks(code_points(x), span)) for i, x in _rows_with(batch.column(1).to_pylist(), span)]
+            made = []
+            for i, text in _rows_with(batch.column(1).to_pylist(), span):
+                points = code_points(text)
+                start, end, near, far = chunks(points, span)
+                made.append((i, start, end, near, far, *digests(points, start, end, seed)))
             if not made:
                 continue
             which = np.repeat([x[0] for x in made], [len(x[1]) for x in made])
-            start, end, digest, near, far = (np.concatenate([x[k] for x in made]) for k in range(1, 6))
+            start, end, near, far, d0, d1 = (np.concatenate([x[k] for x in made]) for k in range(1, 7))
             numbers = start.astype(np.int32), (end - start).astype(np.int32), np.minimum(near, WINDOW + 1).astype(np.int16), far.astype(np.int16)
-            columns = [pa.array(digest), batch.column(0).take(pa.array(which)), *map(pa.array, numbers)]
-            yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc", "start", "length", "near", "far"])
+            columns = [pa.array(d0), pa.array(d1), batch.column(0).take(pa.array(which)), *map(pa.array, numbers)]
+            yield pa.RecordBatch.from_arrays(columns, names=["d0", "d1", "doc", "start", "length", "near", "far"])
 
     return docs.mapInArrow(run, _CHUNK)
 
@@ -179,19 +160,19 @@ def open_part(low: int, high: int, proved: list[tuple[int, int]], span: int) ->
     return (low, high) if low <= high else None
 
 
-_SETTLED = "doc long, sure array<struct<s:int,e:int>>, hits array<struct<digest:long,start:int,near:short,far:short,low:short,high:short>>"
+_SETTLED = "doc long, sure array<struct<s:int,e:int>>, hits array<struct<d0:long,d1:int,start:int,near:short,far:short,low:short,high:short>>"
 
 
 def _settled(hits: DataFrame, span: int) -> DataFrame:
     """Per document the proved spans and its hits, with the distances (low to high) at which stretches that own it are open."""
-    listed = hits.groupBy("doc").agg(F.collect_list(F.struct("digest", "start", "length", "partner", "shift", "near", "far")).alias("hits"))
+    listed = hits.groupBy("doc").agg(F.collect_list(F.struct("d0", "d1", "start", "length", "partner", "shift", "near", "far")).alias("hits"))
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
             offsets, flat = lists.offsets.to_numpy(), lists.values
-            digest, start, length, partner, shift, near, far = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7))
+            d0, d1, start, length, partner, shift, near, far = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8))
             end = start + length
             low, high, missing = np.zeros(len(start), np.int16), np.zeros(len(start), np.int16), np.ones(len(start), bool)
             sure = []
@@ -203,45 +184,40 @@ def _settled(hits: DataFrame, span: int) -> DataFrame:
                     left = open_part(at - int(far[k]), at - int(near[k]), proved, span)
                     if left:
                         low[k], high[k], missing[k] = at - left[1], at - left[0], False
-            fields = [pa.array(digest), pa.array(start.astype(np.int32)), pa.array(near.astype(np.int16)), pa.array(far.astype(np.int16)), pa.array(low, mask=missing), pa.array(high, mask=missing)]
-            told = pa.ListArray.from_arrays(lists.offsets, pa.StructArray.from_arrays(fields, ["digest", "start", "near", "far", "low", "high"]))
+            fields = [pa.array(d0), pa.array(d1.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(near.astype(np.int16)), pa.array(far.astype(np.int16)), pa.array(low, mask=missing), pa.array(high, mask=missing)]
+            told = pa.ListArray.from_arrays(lists.offsets, pa.StructArray.from_arrays(fields, ["d0", "d1", "start", "near", "far", "low", "high"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sure, spans_type), told], names=["doc", "sure", "hits"])
 
     return listed.mapInArrow(run, _SETTLED)
 
 
-def _asked_ranges(settled: DataFrame) -> DataFrame:
+def _asked_ranges(settled: DataFrame, broadcast: int) -> DataFrame:
     """doc and the ranges [s, e) of beginnings whose stretches some document has open, in every document that holds their chunk."""
     hits = settled.select("doc", F.inline("hits"))
-    asked = hits.where("low is not null").groupBy("digest").agg(F.min("low").alias("from_"), F.max("high").alias("to_"))
-    both = hits.select("doc", "digest", "start", "near", "far").join(asked, "digest")
+    asked = hits.where("low is not null").groupBy(*_DIGEST).agg(F.min("low").alias("from_"), F.max("high").alias("to_"))
+    both = guarded_join(hits.select("doc", *_DIGEST, "start", "near", "far"), cut(asked, "asked_chunks"), _DIGEST, broadcast_rows=broadcast // 8)
     both = both.withColumn("s", F.col("start") - F.least("far", "to_")).withColumn("e", F.col("start") - F.greatest("near", "from_") + 1)
     return both.where("s < e").groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("open"))
 
 
-def _open_prints(docs: DataFrame, span: int) -> DataFrame:
-    """print, doc, start of every stretch of span characters that begins in an open range; docs has doc, text, open."""
+def _open_prints(docs: DataFrame, span: int, seed: int) -> DataFrame:
+    """Digest (d0, d1), doc, start of every stretch of span characters that begins in an open range; docs has doc, text, open."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             texts, ranges = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            which, starts, prints = [], [], []
             for i, (text, open_ranges) in enumerate(zip(texts, ranges)):
                 points = code_points(text)
-                for r in open_ranges:
-                    for low in range(r["s"], r["e"], PIECE):
-                        high = min(low + PIECE, r["e"], len(points) - span + 1)
-                        if low >= high:
-                            continue
-                        at = np.arange(high - low)
-                        prints.append(Prints(points[low : high + span - 1]).of(at, at + span))
-                        starts.append((at + low).astype(np.int32))
-                        which.append(np.full(len(at), i))
-            if which:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints)), ids.take(pa.array(np.concatenate(which))), pa.array(np.concatenate(starts))], names=["print", "doc", "start"])
+                s, e = np.array([(r["s"], r["e"]) for r in open_ranges]).T
+                s, e = merged(s, np.minimum(np.maximum(s, e), len(points) - span + 1))
+                for low, high in zip(s.tolist(), e.tolist()):
+                    for at in range(low, high, PIECE):
+                        starts = np.arange(at, min(at + PIECE, high))
+                        d0, d1 = digests(points, starts, starts + span, seed)
+                        yield pa.RecordBatch.from_arrays([pa.array(d0), pa.array(d1), ids.take(pa.array(np.full(len(starts), i))), pa.array(starts.astype(np.int32))], names=["d0", "d1", "doc", "start"])
 
-    return docs.mapInArrow(run, "print long, doc long, start int")
+    return docs.mapInArrow(run, "d0 long, d1 int, doc long, start int")
 
 
 def _covered(spans: DataFrame) -> DataFrame:
@@ -261,12 +237,30 @@ def _covered(spans: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, "doc long, shared_chars long")
 
 
-def _in_several(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that more than one document holds; combined map-side."""
-    return rows.groupBy(key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(key)
+def _hits(rows: DataFrame, broadcast: int) -> DataFrame:
+    """The chunks whose digest several documents hold, with its first and last document and the place in both.
 
+    Half digests are combined map-side first, so that only few rows are compared by whole ones.
+    """
+    half = rows.groupBy("d0").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("d0")
+    live = cut(guarded_join(rows, cut(half, "half"), ["d0"], "left_semi", broadcast), "live")
+    several = live.groupBy(*_DIGEST).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min_by("start", "doc").alias("lo_start"), F.max_by("start", "doc").alias("hi_start"))
+    return guarded_join(live, cut(several.where("lo < hi"), "several"), _DIGEST, broadcast_rows=broadcast // 8)
+
+
+def _in_several(rows: DataFrame, broadcast: int) -> DataFrame:
+    """The rows whose digest several documents hold. Rows meet by half digests; where those stand for several whole ones, by the whole."""
+    half = rows.groupBy("d0").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("d1") != F.max("d1")).alias("mixed")).where("lo < hi").select("d0", "mixed")
+    half = cut(half, "half")
+    sure = guarded_join(rows, half.where("not mixed").select("d0"), ["d0"], "left_semi", broadcast)
+    if half.where("mixed").isEmpty():
+        return sure
+    unsure = cut(guarded_join(rows, half.where("mixed").select("d0"), ["d0"], "left_semi", broadcast), "unsure")
+    whole = unsure.groupBy(*_DIGEST).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(*_DIGEST)
+    return sure.unionByName(guarded_join(unsure, whole, _DIGEST, "left_semi", broadcast // 8))
 
-def shared_characters(documents: DataFrame, id_column: str, text: str, span: int = 300) -> DataFrame:
+
+def shared_characters(documents: DataFrame, id_column: str, text: str, span: int = 300, broadcast: int = BROADCAST_PRINTS) -> DataFrame:
     """id and shared_chars of each record that shares a verbatim stretch of at least span characters with another one.
 
     A character counts if it lies in such a stretch; characters are code points, texts are compared whole and exactly.
@@ -274,31 +268,25 @@ def shared_characters(documents: DataFrame, id_column: str, text: str, span: int
     repeated under its own id is not shared; records without shared characters are left out; no rows for an empty table.
 
     Chunks are deduplicated by digest: a digest that two records hold is a hit, kept with its first and last record. Runs of
-    hits that lie equally shifted in one partner are shared spans at once. The stretches that they leave open, those
-    around their ends, are decided by fingerprints, which every record with the same chunk gives. Nothing is made per pair of records, so a passage that a
-    third of all records hold costs as much as any other: digests and fingerprints are combined map-side, and joins
-    back are broadcast after a count or left to skew-splitting shuffle joins against unique keys. A record is
-    processed by itself. Fingerprints have 64 bits: n of them hold a false match with probability below n * n / 2 ** 65.
+    hits that lie equally shifted in one partner are shared spans at once. The stretches that they leave open, those around
+    their ends, are decided by their own digests, which every record with the same chunk gives. Nothing is made per pair of
+    records, so a passage that a third of all records hold costs as much as any other: digests are combined map-side, and joins back
+    are broadcast up to `broadcast` longs after a count, or shuffled with the hot digests split. A record is processed by itself.
+
+    Texts are taken for equal where their 96-bit digests are (of xxh3, under a seed drawn anew for each call, so that no text can be made
+    to collide); n different stretches hold a false match with probability of about n * n / 2 ** 97, that is 6 in a million for 10 ** 12 of them.
     """
+    seed = secrets.randbits(63)
     docs = documents.select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where(f"doc is not null and length(text) >= {int(span)}")
-    found = cut(chunk_table(docs, span), "chunks")
-    shared = (
-        found.groupBy("digest")
-        .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min_by("start", "doc").alias("lo_start"), F.max_by("start", "doc").alias("hi_start"))
-        .where("lo < hi")
-    )
-    shared = cut(shared, "shared")
-    hint = F.broadcast if at_most(shared, BROADCAST_PRINTS // 8) else (lambda x: x)
     own = F.col("doc") == F.col("lo")
-    hits = found.join(hint(shared), "digest").select(
-        "digest", "doc", "start", "length", "near", "far", F.when(own, F.col("hi")).otherwise(F.col("lo")).alias("partner"), (F.when(own, F.col("hi_start")).otherwise(F.col("lo_start")) - F.col("start")).alias("shift")
+    hits = _hits(cut(chunk_table(docs, span, seed), "chunks"), broadcast).select(
+        *_DIGEST, "doc", "start", "length", "near", "far", F.when(own, F.col("hi")).otherwise(F.col("lo")).alias("partner"), (F.when(own, F.col("hi_start")).otherwise(F.col("lo_start")) - F.col("start")).alias("shift")
     )
     settled = cut(_settled(hits, span), "settled")
-    asked = cut(_asked_ranges(settled), "asked")
-    opened = guarded_join(docs, asked, ["doc"], broadcast_rows=100_000, salts=1)
-    prints = cut(_open_prints(opened.select("doc", "text", "open"), span), "prints")
-    several = cut(_in_several(prints, "print"), "several")
-    hint = F.broadcast if at_most(several, BROADCAST_PRINTS) else (lambda x: x)
-    proved = prints.join(hint(several), "print", "left_semi").select("doc", F.col("start").alias("s"), (F.col("start") + span).alias("e"))
+    asked = cut(_asked_ranges(settled, broadcast), "asked")
+    # One row per document on either side, so beyond the broadcast a plain join has no hot key.
+    opened = docs.join(F.broadcast(asked) if at_most(asked, broadcast // 20) else asked, "doc")
+    prints = cut(_open_prints(opened.select("doc", "text", "open"), span, seed), "prints")
+    proved = _in_several(prints, broadcast).select("doc", F.col("start").alias("s"), (F.col("start") + span).alias("e"))
     sure = settled.select("doc", F.inline("sure"))
     return _covered(proved.unionByName(sure)).where("shared_chars > 0").select(F.col("doc").alias(id_column), "shared_chars")

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.llm import spans
 from stratalog.llm.spans import shared_characters
@@ -29,9 +30,9 @@ def words(rng, n, letters="abcdefgh é漢😀"):
     return "".join(rng.choice(letters) for _ in range(n))
 
 
-def found(spark, rows, span):
+def found(spark, rows, span, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string, digest int, start string, sure int")
-    return {r.doc_id: r.shared_chars for r in shared_characters(df, "doc_id", "text", span).collect()}
+    return {r.doc_id: r.shared_chars for r in shared_characters(df, "doc_id", "text", span, **options).collect()}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -57,13 +58,12 @@ def test_repeats_of_one_record_are_not_shared(spark):
     assert found(spark, [], 300) == {}
 
 
-def test_joins_without_broadcast_give_the_same(spark, monkeypatch):
+def test_joins_without_broadcast_give_the_same(spark):
     rng = random.Random(4)
     common = words(rng, 400)
     rows = [(i, words(rng, 50) + common[rng.randint(0, 60) :] + words(rng, 50), 0, "", 0) for i in range(40)]
     usual = found(spark, rows, 300)
-    monkeypatch.setattr(spans, "BROADCAST_PRINTS", 0)
-    assert found(spark, rows, 300) == usual == brute([r[:2] for r in rows], 300)
+    assert found(spark, rows, 300, broadcast=0) == usual == brute([r[:2] for r in rows], 300)
 
 
 def test_long_texts_are_cut_into_pieces_without_loss(monkeypatch):
@@ -78,7 +78,7 @@ def test_every_stretch_holds_a_chunk():
     rng = random.Random(6)
     for letters in ("ab", "abcdefghij ", "a"):
         points = spans.code_points(words(rng, 3000, letters))
-        start, end, _, near, far = spans.chunks(points, 300)
+        start, end, near, far = spans.chunks(points, 300)
         for i in range(len(points) - 300 + 1):
             owned = (start - far <= i) & (i <= start - near)
             assert owned.sum() == 1 and start[owned][0] >= i and end[owned][0] <= i + 300
@@ -90,3 +90,20 @@ def test_whole_table(spark, sf):
 
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     assert {r.doc_id: r.shared_chars for r in p9_found(spark, sf).collect()} == brute(rows, 300)
+
+
+def test_digests_tell_texts_apart_that_collide_in_polynomials_modulo_powers_of_two():
+    text = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    points = spans.code_points(text + text.translate(str.maketrans("ab", "ba")) + text)
+    for n in (1024, 2048, 4096):
+        d0, d1 = spans.digests(points, np.array([0, 4096, 8192]), np.array([n, 4096 + n, 8192 + n]), 7)
+        assert (d0[0], d1[0]) == (d0[2], d1[2]) and d0[0] != d0[1] and d1[0] != d1[1]
+    assert spans.digests(points, np.array([0]), np.array([9]), 8)[0][0] != spans.digests(points, np.array([0]), np.array([9]), 7)[0][0]
+
+
+def test_half_digests_that_stand_for_several_whole_ones(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 0), (1, 1, 2, 0), (1, 2, 3, 0), (2, 1, 1, 0), (2, 2, 2, 0), (3, 1, 1, 0), (3, 1, 2, 5)], "d0 long, d1 int, doc long, start int")
+    for broadcast in (0, 1000):
+        assert sorted(tuple(r) for r in spans._in_several(rows, broadcast).select("d0", "d1", "doc").collect()) == [(1, 1, 1), (1, 1, 2), (3, 1, 1), (3, 1, 2)]
+        hits = spans._hits(rows.withColumn("length", F.lit(1)), broadcast)
+        assert sorted(tuple(r) for r in hits.select("d0", "d1", "doc", "lo", "hi", "hi_start").collect()) == [(1, 1, 1, 1, 2, 0), (1, 1, 2, 1, 2, 0), (3, 1, 1, 1, 2, 5), (3, 1, 2, 1, 2, 5)]
