@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.encoding import decode_corpus, encode_corpus
 from stratalog.llm.leakage import item_matches, leaked_items
-from stratalog.llm.lookalike import lookalike_pairs, with_form
+from stratalog.llm.lookalike import form_sql, lookalike_pairs, with_form
 from stratalog.llm.names import name_of_line
 from stratalog.llm.resolution import resolve_names, same_entity_pairs
 from stratalog.llm.spans import shared_characters
@@ -80,7 +80,15 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p5_found, p5_forms, p7_ids, p7_roundtrip, p8_found, p8_matches, p9_found)}
 
+_FORMS = f"""
+WITH rows AS (SELECT 'soi' AS record_kind, filing_id AS scope, soi_row_id AS id, identifier_raw AS raw FROM soi_row_observation UNION ALL SELECT 'name', 0, bno_id, normalized_text FROM p6_names),
+forms AS (SELECT record_kind, scope, id, raw, {form_sql("raw")} AS form FROM rows)
+"""
+
 SQL = {
+    # The form itself is tested against plain Python; here the pairs are what is compared.
+    "p5_found": _FORMS + "SELECT a.record_kind, a.id AS id_a, b.id AS id_b FROM forms a JOIN forms b ON a.record_kind = b.record_kind AND a.scope = b.scope AND a.form = b.form AND a.raw <> b.raw AND a.id < b.id",
+    "p5_forms": _FORMS + "SELECT record_kind, id, form FROM forms",
     "p7_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
@@ -88,5 +96,34 @@ i AS (SELECT item_id, list_transform(regexp_extract_all(item_text, '[\p{L}\p{Nd}
 dg AS (SELECT doc_id, array_to_string(w[s:s + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS s FROM d)),
 ig AS (SELECT item_id, array_to_string(w[s:s + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+""",
+    "p8_matches": r"""
+WITH d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT DISTINCT item_id, list_transform(regexp_extract_all(item_text, '[\p{L}\p{Nd}]+'), lambda x: lower(x)) AS w FROM eval_item),
+dw AS (SELECT doc_id, pos, w[pos] AS a, w[pos + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d)),
+iw AS (SELECT item_id, i, w[i] AS a, w[i + 1] AS b FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+f AS (SELECT a, b, count(*) AS n FROM dw GROUP BY a, b),
+r AS (SELECT item_id, i, coalesce(n, 0) * 100000 + i AS rank FROM iw LEFT JOIN f USING (a, b) WHERE iw.b IS NOT NULL),
+best AS (SELECT item_id, min(rank) OVER v AS rank, count(*) OVER v AS size FROM r WINDOW v AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING)),
+anchor AS (SELECT DISTINCT item_id, rank % 100000 AS i FROM best WHERE size = 11 AND rank >= 100000),
+al AS (SELECT DISTINCT doc_id, item_id, dw.pos - iw.i AS shift FROM anchor JOIN iw USING (item_id, i) JOIN dw ON dw.a = iw.a AND dw.b = iw.b),
+ex AS (SELECT al.doc_id, al.item_id, shift, i, i - row_number() OVER (PARTITION BY al.doc_id, al.item_id, shift ORDER BY i) AS island
+       FROM al JOIN iw ON iw.item_id = al.item_id JOIN dw ON dw.doc_id = al.doc_id AND dw.pos = iw.i + shift AND dw.a = iw.a AND dw.b = iw.b),
+phrase AS (SELECT doc_id, item_id, max(n) + 1 AS n_words FROM (SELECT doc_id, item_id, shift, island, count(*) AS n FROM ex GROUP BY ALL) WHERE n >= 11 GROUP BY ALL),
+fw AS (SELECT a, count(*) AS n FROM dw GROUP BY a),
+rw AS (SELECT item_id, i, coalesce(n, 0) * 100000 + i AS rank FROM iw LEFT JOIN fw USING (a)),
+two AS (SELECT item_id, list_sort(list(rank) OVER v) AS ranks FROM rw WINDOW v AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+loose AS (SELECT DISTINCT doc_id, item_id, dw.pos - iw.i AS shift, second FROM (SELECT DISTINCT item_id, ranks[1] % 100000 AS i, ranks[2] % 100000 AS second FROM two WHERE len(ranks) = 12 AND ranks[1] >= 100000) s JOIN iw USING (item_id, i) JOIN dw ON dw.a = iw.a),
+ok AS (SELECT DISTINCT l.doc_id, l.item_id, shift FROM loose l JOIN iw ON iw.item_id = l.item_id AND iw.i = l.second JOIN dw ON dw.doc_id = l.doc_id AND dw.a = iw.a AND abs(dw.pos - iw.i - shift) <= 3),
+near AS (SELECT ok.doc_id, ok.item_id, shift, count(DISTINCT i) AS n FROM ok JOIN iw ON iw.item_id = ok.item_id JOIN dw ON dw.doc_id = ok.doc_id AND dw.a = iw.a AND abs(dw.pos - iw.i - shift) <= 3 GROUP BY ALL)
+SELECT doc_id, item_id, 'phrase' AS kind, n_words FROM phrase
+UNION ALL SELECT doc_id, item_id, 'proximity', max(n) FROM near WHERE n >= 12 AND NOT EXISTS (SELECT 1 FROM phrase p WHERE p.doc_id = near.doc_id AND p.item_id = near.item_id) GROUP BY doc_id, item_id
+""",
+    "p9_found": """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
+g AS (SELECT doc_id, s, md5(substr(text, s, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, n - 298)) AS s FROM d)),
+m AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+k AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS later FROM g SEMI JOIN m USING (h))
+SELECT doc_id, sum(least(300, coalesce(later - s, 300)))::BIGINT AS shared_chars FROM k GROUP BY doc_id
 """,
 }

@@ -56,6 +56,7 @@ def test_without_broadcast(spark, monkeypatch):
     d, i = frames(spark, docs, items)
     plain = leakage.guarded_join
     monkeypatch.setattr(leakage, "guarded_join", lambda *a, **k: plain(*a, **k, broadcast_rows=0))
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 0)
     assert sorted(tuple(r) for r in leaked_items(d, "doc_id", "text", i, "item_id", "item_text").collect()) == brute(docs, items)
 
 
@@ -65,3 +66,14 @@ def test_proximity(spark):
     d, i = frames(spark, [(1, " ".join(words)), (2, " ".join(swapped[2:16])), (3, " ".join(words[:9]))], [(7, " ".join(words))])
     got = {tuple(r) for r in item_matches(d, "doc_id", "text", i, "item_id", "item_text").collect()}
     assert got == {(1, 7, "phrase", 20), (2, 7, "proximity", 12)}
+
+
+def test_one_index_serves_several_test_sets(spark, tmp_path):
+    docs, items = data()
+    d, i = frames(spark, docs, items)
+    index = leakage.PositionalIndex.build(d, "doc_id", "text", str(tmp_path / "index"))
+    assert index.postings.count() == sum(len(tokens(x)) for d, x in docs if d is not None)
+    for part in (i, i.where("item_id < 9")):
+        search = leakage.Search(leakage.PositionalIndex.read(spark, str(tmp_path / "index")), part, "item_id", "item_text", 12)
+        got = {(r.doc, r.item) for r in search.phrases(search.alignments()).collect()}
+        assert got == set(brute(docs, [tuple(r)[:2] for r in part.collect()]))
