@@ -80,6 +80,24 @@ def chain_heads(df: DataFrame, id_column: str = "id", supersedes: str = "superse
         span *= 2
 
 
+def chain_ends(df: DataFrame, id_column: str = "id", supersedes: str = "supersedes_id", depth: int = 1 << 20) -> DataFrame:
+    """id, head: the row that ends the chain each row stands in (itself for a head); rows of a forked chain have several.
+
+    Known steps double each round until nothing moves. Rows on a cycle, or in front of a chain of more than depth rows, raise.
+    """
+    step = df.where(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias(id_column), F.col(id_column).alias("head")).distinct()
+    reach = cut(df.select(id_column).distinct().join(step, id_column, "left").select(id_column, F.coalesce("head", id_column).alias("head")), "ends")
+    span = 1
+    while True:
+        further = reach.select(F.col(id_column).alias("head"), F.col("head").alias("__head"))
+        if reach.join(further, "head").where("head <> __head").isEmpty():
+            return reach
+        if span > depth:
+            raise ValueError(f"a chain is longer than {depth} rows or leads into a cycle")
+        reach = cut(reach.join(further, "head").select(id_column, F.col("__head").alias("head")).distinct(), "ends")
+        span *= 2
+
+
 def insert_absent(source: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows of source to append: the first by order of each key that existing lacks. Null keys are never inserted."""
     known = existing.select(*keys).distinct()

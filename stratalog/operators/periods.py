@@ -41,13 +41,16 @@ def comparable(earlier: Column, later: Column, earlier_unit: Column | None = Non
     return F.when(F.coalesce(ok, F.lit(False)), "COMPARABLE").otherwise("INSUFFICIENT_DATA")
 
 
-def ratio(a: Column, b: Column, digits: int = 6) -> Column:
-    """a / b to so many digits; null for a zero or unknown divisor."""
-    return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as a DECIMAL with six digits, rounded half up once; null for a zero or unknown divisor."""
+    wide = "decimal(38,8)"  # the quotient of two of these has six digits, so nothing is rounded before
+    return F.try_divide(a.cast(wide), b.cast(wide))
 
 
-def percent_change(earlier: Column, later: Column, digits: int = 6) -> Column:
-    return F.round(F.try_divide(later.cast("double") - earlier.cast("double"), earlier.cast("double")) * 100, digits)
+def percent_change(earlier: Column, later: Column) -> Column:
+    """The change in percent of the earlier value, as a DECIMAL with six digits; null if that is zero or unknown. Values have at most 19 digits before the point."""
+    a, b = earlier.cast("decimal(27,8)"), later.cast("decimal(27,8)")
+    return ratio((b - a) * F.lit(100).cast("decimal(3,0)"), a)
 
 
 def period_changes(df: DataFrame, keys: Sequence[str], date: str, id_column: str, value: str, earlier, later) -> DataFrame:

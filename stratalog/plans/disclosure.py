@@ -9,6 +9,7 @@ from stratalog.functions import values as vx
 from stratalog.operators import cells, chains, periods, profile, states
 from stratalog.operators.joins import guarded_join
 from stratalog.plans.problems import accession18
+from stratalog.plans.reference import quotient
 from stratalog.session import table
 
 QUERIES: dict = {}
@@ -289,10 +290,10 @@ def portfolio_summary(spark, sf):
     )
 
 
-@query(_POSITIONS + "SELECT tabular_row_id, round(fair_value_value / nullif(cost_value, 0), 6) AS value_to_cost, round(fair_value_value / nullif(principal_value, 0), 6) AS value_to_principal FROM p")
+@query(_POSITIONS + f"SELECT tabular_row_id, {quotient('CAST(fair_value_value AS DECIMAL(22, 8))', 'CAST(cost_value AS DECIMAL(22, 8))')}::VARCHAR AS value_to_cost, {quotient('CAST(fair_value_value AS DECIMAL(22, 8))', 'CAST(principal_value AS DECIMAL(22, 8))')}::VARCHAR AS value_to_principal FROM p")
 def position_valuation(spark, sf):
     value, cost, principal = (F.col(f"{n}_value") for n in ("fair_value", "cost", "principal"))
-    return _positions(spark, sf).select("tabular_row_id", periods.ratio(value, cost).alias("value_to_cost"), periods.ratio(value, principal).alias("value_to_principal"))
+    return _positions(spark, sf).select("tabular_row_id", periods.ratio(value, cost).cast("string").alias("value_to_cost"), periods.ratio(value, principal).cast("string").alias("value_to_principal"))
 
 
 @query(

@@ -17,6 +17,12 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def quotient(a: str, b: str) -> str:
+    """SQL of a / b, both given to at most eight digits, to six digits, rounded half up in whole numbers; null for a zero divisor."""
+    n, d = f"CAST(({a}) * 100000000 AS HUGEINT)", f"CAST(({b}) * 100000000 AS HUGEINT)"
+    return f"(CASE WHEN {d} <> 0 THEN CAST(CAST(sign({n}) * sign({d}) AS INT) * ((2 * abs({n}) * 1000000 + abs({d})) // (2 * abs({d}))) AS DECIMAL(30, 0)) * CAST(0.000001 AS DECIMAL(7, 6)) END)"
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -66,16 +72,19 @@ def pair_deltas_currency_gate(spark, sf):
     )
 
 
+_CENTS = "CAST({0}.o_totalprice AS DECIMAL(18, 2))"
+
+
 @query(
     _PAIRS
-    + """SELECT p.o_custkey AS position_id, i2 AS later_id, round((b.o_totalprice - a.o_totalprice) / nullif(a.o_totalprice, 0) * 100, 6) AS percent, round(b.o_totalprice / nullif(a.o_totalprice, 0), 6) AS ratio
+    + f"""SELECT p.o_custkey AS position_id, i2 AS later_id, {quotient(f"({_CENTS.format('b')} - {_CENTS.format('a')}) * 100", _CENTS.format('a'))}::VARCHAR AS percent, {quotient(_CENTS.format('b'), _CENTS.format('a'))}::VARCHAR AS ratio
 FROM p JOIN orders a ON a.o_orderkey = i1 JOIN orders b ON b.o_orderkey = i2"""
 )
 def percent_change(spark, sf):
     orders = table(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate"))
     both = periods.with_both_sides(periods.consecutive_pairs(orders, ["o_custkey"], "day", "o_orderkey"), orders, "o_orderkey", ["o_totalprice"])
-    a, b = F.col("e_o_totalprice"), F.col("l_o_totalprice")
-    return both.select(F.col("o_custkey").alias("position_id"), "later_id", periods.percent_change(a, b).alias("percent"), periods.ratio(b, a).alias("ratio"))
+    a, b = (F.col(f"{side}_o_totalprice").cast("decimal(18,2)") for side in "el")
+    return both.select(F.col("o_custkey").alias("position_id"), "later_id", periods.percent_change(a, b).cast("string").alias("percent"), periods.ratio(b, a).cast("string").alias("ratio"))
 
 
 _CHANGES = """

@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions import text as tx
-from stratalog.operators import chains, matching, periods, reading, states
+from stratalog.operators import chains, matching, periods, states
 
-#: Field code, name in wide reads, kind of its value.
-FIELDS = {"PRINCIPAL_AMOUNT": "principal", "COST": "cost", "FAIR_VALUE": "fair_value", "INTEREST_RATE": "rate", "SPREAD": "spread", "MATURITY_DATE": "maturity", "ACQUISITION_DATE": "acquisition"}
-AMOUNTS = ("principal", "cost", "fair_value")
+#: The fields whose coverage of a date is told, and their names there.
+COVERED_CELLS = {"PRINCIPAL_AMOUNT": "principal", "COST": "cost", "FAIR_VALUE": "fair_value", "MATURITY_DATE": "maturity"}
 NAME_COLUMN = "Investment, Identifier Axis"
 #: Chained tables that are read through their heads under a name of their own.
 HEADS = {
@@ -112,7 +111,7 @@ class Evidence:
             states.single_value(F.col("registrant_id")).alias("registrant_id"), tx.padded_cik(one).alias("registrant_cik"), F.when(one.isNotNull(), "LINKED").otherwise("UNRESOLVED").alias("registrant_link_status")
         )
 
-    def _sourced(self, name: str, subject: str, kind: str) -> DataFrame:
+    def _sourced(self, name: str, subject: str, kind: str, *further: str) -> DataFrame:
         """Heads of an attribute table with their source type, stream, evidence level and documentation status."""
         evidence = self.table("evidence.evidence").select(F.col("id").alias("evidence_id"), "evidence_level", F.col("artifact_id").alias("__a"), "locator_type", "column_label", "json_path")
         artifacts = self.table("raw.artifact").select(F.col("id").alias("__a"), "source_type_code", "source_url")
@@ -125,14 +124,14 @@ class Evidence:
         rows = self.heads(name).join(evidence, "evidence_id").join(artifacts, "__a").withColumn("source_field", field).withColumn("source_stream", stream)
         documented = self.table("ref.registry_field_mapping").where(F.col("target_kind") == kind).select("source_type_code", "source_field", F.col("target_code").alias("attribute_code"), F.col("mapping_status").alias("documentation_status"))
         rows = rows.join(documented, ["source_type_code", "source_field", "attribute_code"], "left")
-        return rows.select(F.col("id").alias("observation_id"), subject, "attribute_code", "raw_value", "normalized_value", "source_type_code", "source_stream", "evidence_level", "documentation_status")
+        return rows.select(F.col("id").alias("observation_id"), subject, "attribute_code", "raw_value", "normalized_value", "source_type_code", "source_stream", "evidence_level", "documentation_status", *further)
 
     def current_registrant_attribute(self) -> DataFrame:
         return self._sourced("registry.registrant_attribute_observation", "registrant_id", "REGISTRANT_ATTRIBUTE").join(self._registrants(), "registrant_id")
 
     def current_filing_attribute(self) -> DataFrame:
         filings = self.table("registry.filing").select(F.col("id").alias("filing_id"), "accession_number")
-        return self._sourced("registry.filing_attribute_observation", "filing_id", "FILING_ATTRIBUTE").join(filings, "filing_id")
+        return self._sourced("registry.filing_attribute_observation", "filing_id", "FILING_ATTRIBUTE", "value_state").join(filings, "filing_id")
 
     def registrant_attribute_status(self) -> DataFrame:
         current = self.current_registrant_attribute().groupBy("registrant_id", "attribute_code").agg(F.count(F.lit(1)).alias("current_value_count"), states.three_state(F.col("raw_value")).alias("attribute_state"), states.single_value(F.col("raw_value")).alias("value"))
@@ -197,15 +196,9 @@ class Evidence:
         """At one date, per registrant how many lines have and lack each of four cells."""
         lines = self._lines().where(F.col("reported_date") == F.lit(date)).select(F.col("id").alias("position_observation_id"), "registrant_cik")
         values = self.heads("current_position_field_value").where("value_state = 'REPORTED'").select("position_observation_id", "field_code")
-        return states.cell_presence(lines.join(values, "position_observation_id", "left"), ["position_observation_id"], ["registrant_cik"], {n: F.col("field_code") == c for c, n in FIELDS.items() if n in (*AMOUNTS, "maturity")})
+        return states.cell_presence(lines.join(values, "position_observation_id", "left"), ["position_observation_id"], ["registrant_cik"], {n: F.col("field_code") == c for c, n in COVERED_CELLS.items()})
 
     # Positions
-    def position_field_status(self) -> DataFrame:
-        """Every field of every position; a field without a row is UNKNOWN, never zero."""
-        known = self.heads("current_position_field_value").groupBy("position_observation_id", "field_code").agg(states.four_state(F.col("value_state"), F.col("raw_value")).alias("value_state"))
-        positions = self.table("obs.position_observation").select(F.col("id").alias("position_observation_id"))
-        return states.status_grid(positions, self.table("ref.field_definition").select("field_code"), known, ["position_observation_id", "field_code"], "value_state")
-
     def matched_entity_position(self) -> DataFrame:
         """Matched entity of each position that has exactly one extracted identifier name."""
         names = self.heads("current_borrower_name_observation").where((F.col("source_column_label") == NAME_COLUMN) & (F.col("extraction_state") == "EXTRACTED"))
@@ -218,71 +211,6 @@ class Evidence:
         d = self.heads(name).groupBy("position_observation_id").agg(states.exactly_one(F.col(target)).alias(target), states.exactly_one(F.col("state")).alias("state"))
         return d.withColumnRenamed("state", f"{target}_state")
 
-    def position_read(self) -> DataFrame:
-        """One wide row per position: identity, decisions, and per field state, raw text, number, date and currency of its only head."""
-        heads = self.heads("current_position_field_value")
-        columns = []
-        for code, name in FIELDS.items():
-            own = F.col("field_code") == code
-            state = states.four_state(F.when(own, F.col("value_state")), F.when(own, F.col("raw_value")))
-            columns.append(state.alias(f"{name}_state"))
-            columns += [F.when(state == "REPORTED", F.min(F.when(own, F.col(c)))).alias(f"{name}_{short}") for c, short in (("raw_value", "raw"), ("normalized_numeric", "numeric"), ("normalized_date", "date"), ("currency_state", "currency_state"), ("currency_code", "currency_code"))]
-        wide = heads.groupBy("position_observation_id").agg(*columns)
-        out = self.table("obs.position_observation").select(F.col("id").alias("position_observation_id"), "filing_id", "reported_date", "duration_kind").join(wide, "position_observation_id", "left")
-        out = out.join(self.portfolio_filing_registrant(), "filing_id", "left").join(self.matched_entity_position(), "position_observation_id", "left")
-        for decision, target in (("current_instrument_resolution", "instrument_id"), ("current_position_continuity", "position_id")):
-            out = out.join(self._only_decision(decision, target), "position_observation_id", "left")
-        return out.select(*[F.coalesce(c, F.lit("UNKNOWN")).alias(c) if c in {f"{n}_state" for n in FIELDS.values()} else F.col(c) for c in out.columns])
-
-    def position_period_comparison(self) -> DataFrame:
-        """Consecutive observations of matched positions and, per amount, whether they compare, by how much they differ and whether they changed."""
-        read = self.position_read().where("position_id_state = 'MATCHED' and position_id is not null and reported_date is not null")
-        pairs = periods.consecutive_pairs(read, ["position_id"], "reported_date", "position_observation_id")
-        cells = [f"{n}_{x}" for n in AMOUNTS for x in ("state", "numeric", "currency_state", "currency_code")] + ["maturity_state", "maturity_date", "rate_numeric", "spread_numeric", "registrant_cik", "legal_entity_id"]
-        both = periods.with_both_sides(pairs, read, "position_observation_id", cells)
-        out = ["position_id", "earlier_id", "later_id", "earlier_date", "later_date", F.col("l_registrant_cik").alias("registrant_cik"), "e_legal_entity_id", "l_legal_entity_id"]
-        for name in AMOUNTS:
-            unit = lambda side: F.when(~F.col(f"{side}_{name}_currency_state").isin("UNKNOWN", "AMBIGUOUS"), F.col(f"{side}_{name}_currency_code"))  # noqa: B023, E731
-            a, b = F.col(f"e_{name}_numeric"), F.col(f"l_{name}_numeric")
-            state = periods.comparable(a, b, unit("e"), unit("l"))
-            out += [state.alias(f"{name}_comparison"), F.when(state == "COMPARABLE", b - a).alias(f"{name}_delta"), F.when(state == "COMPARABLE", a != b).alias(f"{name}_changed"), F.when(state == "COMPARABLE", periods.percent_change(a, b)).alias(f"{name}_percent")]
-        for name, x in (("rate", "numeric"), ("spread", "numeric"), ("maturity", "date")):
-            a, b = F.col(f"e_{name}_{x}"), F.col(f"l_{name}_{x}")
-            out += [periods.comparable(a, b).alias(f"{name}_comparison"), (a != b).alias(f"{name}_changed")]
-        return both.select(*out)
-
-    def borrower_comparisons(self, legal_entity_id: str) -> DataFrame:
-        return self.position_period_comparison().where((F.col("e_legal_entity_id") == legal_entity_id) & (F.col("l_legal_entity_id") == legal_entity_id))
-
-    def portfolio_scope(self, cik: str, date: dt.date) -> DataFrame:
-        return self.position_read().where((F.col("registrant_cik") == checked_cik(cik)) & (F.col("reported_date") == F.lit(date)))
-
-    def portfolio_holdings(self, cik: str, date: dt.date, number: int = 1, size: int = 50) -> DataFrame:
-        return reading.page(self.portfolio_scope(cik, date), [F.asc_nulls_last("legal_entity_id"), "position_observation_id"], number, size)
-
-    def portfolio_summary(self, cik: str, date: dt.date) -> DataFrame:
-        """Counts, and totals of principal and fair value that are given only when every line has one in one known currency."""
-        out = [F.count(F.lit(1)).alias("line_count"), F.count("legal_entity_id").alias("matched_count")]
-        for name in ("principal", "fair_value"):
-            known = ~F.col(f"{name}_currency_state").isin("UNKNOWN", "AMBIGUOUS")
-            state, total, unit = states.guarded_total(F.col(f"{name}_numeric"), F.col(f"{name}_state") == "REPORTED", F.when(known, F.col(f"{name}_currency_code")))
-            out += [state.alias(f"{name}_total_state"), total.alias(f"{name}_total"), unit.alias(f"{name}_currency")]
-        return self.portfolio_scope(cik, date).agg(*out)
-
-    def portfolio_period_changes(self, cik: str, earlier: dt.date, later: dt.date) -> DataFrame:
-        """position_id, change, earlier_id, later_id between two dates of a registrant; only matched positions, ambiguous ones left out."""
-        if earlier >= later:
-            raise ValueError("the earlier date must lie before the later one")
-        rows = self.position_read().where((F.col("registrant_cik") == checked_cik(cik)) & F.expr("position_id is not null and position_id_state = 'MATCHED' and instrument_id_state = 'MATCHED'"))
-        value = F.concat_ws("|", *[F.coalesce(F.col(f"{n}_{x}").cast("string"), F.lit("?")) for n, x in (("principal", "numeric"), ("cost", "numeric"), ("fair_value", "numeric"), ("maturity", "date"))])
-        changes = periods.period_changes(rows.withColumn("__value", value), ["position_id"], "reported_date", "position_observation_id", "__value", earlier, later)
-        return changes.where("change <> 'AMBIGUOUS'")
-
-    def maturity_year(self) -> DataFrame:
-        """Lines per registrant, date and year of a known maturity day; lines without one belong to no year."""
-        rows = self.position_read().where("maturity_date is not null and registrant_cik is not null")
-        return rows.groupBy("registrant_cik", "reported_date", F.year("maturity_date").alias("maturity_year")).agg(F.count(F.lit(1)).alias("disclosed_line_count"))
-
     def research_fields(self) -> DataFrame:
         levels = self.table("evidence.evidence").select(F.col("id").alias("evidence_id"), "evidence_level")
         return self.heads("current_position_field_value").where(F.col("field_code").isin("INDUSTRY", "INSTRUMENT_TYPE")).join(levels, "evidence_id").select("position_observation_id", "field_code", "raw_value", "value_state", "evidence_level")
