@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 def unpivot_cells(rows: DataFrame, keys: Sequence[str], header: str, cells: str, mapping: DataFrame | None = None, label: str = "label") -> DataFrame:
     """keys, label, value of every cell that is not empty; with a mapping (label, further columns) only mapped labels, with its columns.
 
-    Rows whose width differs from their header, and null headers or cells, give nothing. Labels that stand twice in a header give two rows.
+    Rows whose width differs from their header, and null headers or cells, are told by unpivot_rejects instead. Labels that stand twice in a header give two rows.
     """
     zipped = F.arrays_zip(F.col(header).alias("label"), F.col(cells).alias("value"))
     long = rows.where(F.size(header) == F.size(cells)).select(*keys, F.explode(zipped).alias("__c")).select(*keys, F.col("__c.label").alias(label), F.col("__c.value").alias("value"))
@@ -22,8 +22,29 @@ def unpivot_cells(rows: DataFrame, keys: Sequence[str], header: str, cells: str,
     return long if mapping is None else long.join(mapping, label)
 
 
+def unpivot_rejects(rows: DataFrame, keys: Sequence[str], header: str, cells: str) -> DataFrame:
+    """keys, reason of the rows that unpivot_cells cannot read: NO_HEADER, NO_CELLS or WIDTH."""
+    reason = F.when(F.col(header).isNull(), "NO_HEADER").when(F.col(cells).isNull(), "NO_CELLS").when(F.size(header) != F.size(cells), "WIDTH")
+    return rows.select(*keys, reason.alias("reason")).where("reason is not null")
+
+
+def array_rejects(df: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -> DataFrame:
+    """keys, reason of the rows that arrays_to_rows cannot read: NO_ARRAY (one is null) or UNEQUAL_LENGTHS."""
+    missing, first = F.lit(False), F.size(arrays[0])
+    differ = F.lit(False)
+    for c in arrays:
+        missing, differ = missing | F.col(c).isNull(), differ | (F.size(c) != first)
+    return df.select(*keys, F.when(missing, "NO_ARRAY").when(differ, "UNEQUAL_LENGTHS").alias("reason")).where("reason is not null")
+
+
+def json_rejects(df: DataFrame, keys: Sequence[str], document: str) -> DataFrame:
+    """keys, reason of the documents that flatten_json cannot read: NO_TEXT or MALFORMED."""
+    reason = F.when(F.col(document).isNull(), "NO_TEXT").when(F.try_parse_json(document).isNull(), "MALFORMED")
+    return df.select(*keys, reason.alias("reason")).where("reason is not null")
+
+
 def arrays_to_rows(df: DataFrame, keys: Sequence[str], arrays: Sequence[str], position: str = "pos") -> DataFrame:
-    """One row per position of parallel arrays; rows whose arrays differ in length (or are null) are malformed and give nothing."""
+    """One row per position of parallel arrays; rows whose arrays differ in length (or are null) are told by array_rejects instead."""
     first = F.size(arrays[0])
     same = first >= 0
     for c in arrays[1:]:
@@ -32,6 +53,10 @@ def arrays_to_rows(df: DataFrame, keys: Sequence[str], arrays: Sequence[str], po
     return zipped.select(*keys, position, *[F.col(f"__r.{c}").alias(c) for c in arrays])
 
 
+class _Number(str):
+    """A number as it is spelt in a document."""
+
+
 def flatten(document) -> list[tuple[str, str, int | None, str, str | None]]:
     """(path, container, index, type, text) of every node of a parsed JSON document; scalars only have text."""
     out: list[tuple[str, str, int | None, str, str | None]] = []
@@ -45,8 +70,8 @@ def flatten(document) -> list[tuple[str, str, int | None, str, str | None]]:
             out.append((path, container, index, "array", None))
             stack += [(f"{path}[{i}]", path, i, v) for i, v in reversed(list(enumerate(node)))]
         else:
-            kind = "null" if node is None else "boolean" if isinstance(node, bool) else "string" if isinstance(node, str) else "number"
-            out.append((path, container, index, kind, None if node is None else node if isinstance(node, str) else json.dumps(node)))
+            kind = "null" if node is None else "boolean" if isinstance(node, bool) else "number" if isinstance(node, (_Number, int, float)) else "string"
+            out.append((path, container, index, kind, None if node is None else json.dumps(node) if kind == "boolean" else str(node)))
     return out
 
 
@@ -57,7 +82,7 @@ _NODE = T.StructType([T.StructField(n, T.IntegerType() if n == "index" else T.St
 def _flat(text: pd.Series) -> pd.Series:
     def one(x):
         try:
-            nodes = flatten(json.loads(x))
+            nodes = flatten(json.loads(x, parse_float=_Number, parse_int=_Number, parse_constant=_Number))
         except (TypeError, ValueError):
             return None
         return [dict(zip(("path", "container", "index", "type", "text"), n)) for n in nodes]
@@ -66,5 +91,8 @@ def _flat(text: pd.Series) -> pd.Series:
 
 
 def flatten_json(df: DataFrame, keys: Sequence[str], document: str) -> DataFrame:
-    """keys, path, container, index, type, text of all nodes; null and malformed documents give nothing. Numbers keep their value, not their spelling."""
+    """keys, path, container, index, type, text of all nodes; null and malformed documents are told by json_rejects instead. Numbers keep their spelling.
+
+    In Python, in Arrow batches: a variant keeps a number's value only, and is taken apart one level at a time.
+    """
     return df.select(*keys, F.inline(_flat(F.col(document))))

@@ -89,11 +89,11 @@ def chain_ends(df: DataFrame, id_column: str = "id", supersedes: str = "supersed
     reach = cut(df.select(id_column).distinct().join(step, id_column, "left").select(id_column, F.coalesce("head", id_column).alias("head")), "ends")
     span = 1
     while True:
-        further = reach.select(F.col(id_column).alias("head"), F.col("head").alias("__head"))
-        if reach.join(further, "head").where("head <> __head").isEmpty():
+        if reach.join(step.select(F.col(id_column).alias("head")).distinct(), "head", "left_semi").isEmpty():
             return reach
         if span > depth:
             raise ValueError(f"a chain is longer than {depth} rows or leads into a cycle")
+        further = reach.select(F.col(id_column).alias("head"), F.col("head").alias("__head"))
         reach = cut(reach.join(further, "head").select(id_column, F.col("__head").alias("head")).distinct(), "ends")
         span *= 2
 

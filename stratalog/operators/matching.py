@@ -44,18 +44,20 @@ def near_name_pairs(names: DataFrame, id_column: str, core: Column, suffix: Colu
 def canonical(edges: DataFrame, source: str, target: str, depth: int = 64) -> DataFrame:
     """node, canonical, is_cyclic: where each node's edges end. Every node has at most one outgoing edge.
 
-    Known steps are doubled each round, so a chain of `depth` edges takes log2(depth) joins; nodes that still move then
+    Known steps are doubled each round until nothing moves, so a chain of `depth` edges takes log2(depth) joins; nodes that still move then
     are on or lead into a cycle (or a longer chain) and have no canonical node. Targets without an edge are canonical themselves.
     """
     one = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(source).alias("node")).agg(F.min(target).alias("next"))
     one = cut(one, "edges")
+    open_ends = one.select(F.col("node").alias("next"), F.lit(True).alias("__open"))
     jump, reach = one, 1
-    while reach < depth:
+    while True:
+        ended = jump.join(open_ends, "next", "left")
+        if reach >= depth or ended.where("__open").isEmpty():
+            break
         further = jump.select(F.col("node").alias("next"), F.col("next").alias("__further"))
         jump = cut(jump.join(further, "next", "left").select("node", F.coalesce("__further", "next").alias("next")), "jump")
         reach *= 2
-    open_ends = one.select(F.col("node").alias("next"), F.lit(True).alias("__open"))
-    ended = jump.join(open_ends, "next", "left")
     terminal = one.select(F.col("next").alias("node")).distinct().join(one.select("node"), "node", "left_anti").select("node", F.col("node").alias("canonical"), F.lit(False).alias("is_cyclic"))
     moved = ended.select("node", F.when(F.col("__open").isNull(), F.col("next")).alias("canonical"), F.col("__open").isNotNull().alias("is_cyclic"))
     return moved.unionByName(terminal)
@@ -82,25 +84,33 @@ def plan_entities(observations: DataFrame, aliases: DataFrame, group: str, name:
     return joined.select(group, plan.alias("plan"), F.when(F.col("__n") == 1, F.col("name")).alias("name"), made.alias("entity"))
 
 
-def fact_groups(rows: DataFrame, keys: Sequence[str], id_column: str, role: str, measures: str) -> DataFrame:
-    """keys, balance_id, spread_id, pik_id of groups that are one BALANCE and one SPREAD row and at most one PIK row without a common measure.
+def fact_groups(rows: DataFrame, keys: Sequence[str], axes: Sequence[str], id_column: str, role: str, measures: str) -> DataFrame:
+    """keys, axes, outcome, balance_id, spread_id, pik_id per group of rows that name one fact: GROUPED if they are one BALANCE and one SPREAD row and at most one PIK row without a common measure.
 
-    Rows of a group are counted before anything is gathered; only groups of two or three rows are looked into.
+    All keys must be filled; rows with a null or blank key enter no group. On an axis null and blank are one value (given as null).
+    Other groups are told with the first thing that blocks them, and no ids: UNKNOWN_ROLE (a row without a role), ROLE_SHAPE, COMMON_MEASURE. Groups of
+    one row are no groups. Rows of a group are counted before anything is gathered; only the measures of groups of two or three rows are looked into.
     """
-    one = lambda name: F.min(F.when(F.col(role) == name, F.col(id_column)))
-    n = lambda name: F.count_if(F.col(role) == name)
-    shape = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), n("BALANCE").alias("b"), n("SPREAD").alias("s"), n("PIK").alias("p"), one("BALANCE").alias("balance_id"), one("SPREAD").alias("spread_id"), one("PIK").alias("pik_id"),
-        F.sum(F.size(measures)).alias("n_measures"),
-    )
-    shaped = shape.where("b = 1 and s = 1 and p <= 1 and n = b + s + p")
-    distinct = rows.select(*keys, F.explode(measures).alias("__m")).groupBy(*keys).agg(F.count_distinct("__m").alias("n_distinct"))
-    same = None
+    blank = lambda c: F.nullif(F.btrim(F.col(c).cast("string")), F.lit(""))
+    filled = rows
     for k in keys:
-        this = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        same = this if same is None else same & this
-    joined = shaped.join(distinct.select(*[F.col(k).alias(f"__{k}") for k in keys], "n_distinct"), same)
-    return joined.where("n_measures = n_distinct").select(*keys, "balance_id", "spread_id", "pik_id")
+        filled = filled.where(blank(k).isNotNull())
+    named = [F.coalesce(blank(a), F.lit("")).alias(f"__{a}") for a in axes]
+    filled = filled.select(*keys, *named, F.col(id_column).alias("__id"), F.col(role).alias("__role"), F.col(measures).alias("__m"))
+    by = [*keys, *[f"__{a}" for a in axes]]
+    one = lambda name: F.min(F.when(F.col("__role") == name, F.col("__id")))
+    n = lambda name: F.count_if(F.col("__role") == name)
+    shape = filled.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), n("BALANCE").alias("b"), n("SPREAD").alias("s"), n("PIK").alias("p"), one("BALANCE").alias("balance_id"), one("SPREAD").alias("spread_id"), one("PIK").alias("pik_id"),
+        F.sum(F.size("__m")).alias("n_measures"),
+    ).where("n > 1")
+    shaped = (F.col("b") == 1) & (F.col("s") == 1) & (F.col("p") <= 1) & (F.col("n") == F.col("b") + F.col("s") + F.col("p"))
+    looked_into = filled.join(shape.where(shaped).select(*by), by, "left_semi")
+    distinct = looked_into.select(*by, F.explode("__m").alias("x")).groupBy(*by).agg(F.count_distinct("x").alias("n_distinct"))
+    joined = shape.join(distinct, by, "left")
+    outcome = F.when(F.col("b") + F.col("s") + F.col("p") < F.col("n"), "UNKNOWN_ROLE").when(~shaped, "ROLE_SHAPE").when(F.col("n_measures") != F.coalesce("n_distinct", F.lit(0)), "COMMON_MEASURE").otherwise("GROUPED")
+    ids = [F.when(outcome == "GROUPED", F.col(c)).alias(c) for c in ("balance_id", "spread_id", "pik_id")]
+    return joined.select(*keys, *[F.nullif(F.col(f"__{a}"), F.lit("")).alias(a) for a in axes], outcome.alias("outcome"), *ids)
 
 
 def bind_by_fields(left: DataFrame, right: DataFrame, left_id: str, right_id: str, scope: Sequence[str]) -> DataFrame:

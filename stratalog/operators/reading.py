@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalog.session import BROADCAST_ROWS, at_most, once
+
 
 def alias_search(df: DataFrame, group: Sequence[str], alias: str, needle: str, counts: dict[str, Column]) -> DataFrame:
     """Groups any of whose aliases holds the needle (case-folded, literally), with the aliases, distinct counts and the label if it is the only one."""
@@ -48,9 +50,20 @@ def bands(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str)
 
 
 def documents(df: DataFrame, keys: Sequence[str], nested: Sequence[str], order: Sequence[str], name: str = "items", most: int = 100_000) -> DataFrame:
-    """keys, json: one JSON document per key with its rows as an ordered array. A key with more than `most` rows is no document and raises."""
+    """keys, part, parts, json: one JSON document per key with its rows as an ordered array.
+
+    A key with more than `most` rows has several documents, so that no task gathers it: its rows are dealt out by their content into parts of
+    about half of `most`, each ordered in itself; together the parts hold every row once.
+    """
     body = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.struct(*nested).alias("row"))
-    gathered = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list(body)).alias("__rows"))
-    checked = F.when(F.col("__n") > most, F.raise_error(F.lit("a document has too many rows")).cast("string"))
+    sizes = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    sizes = once(sizes, "sizes")
+    dealt = df.join(F.broadcast(sizes) if at_most(sizes, BROADCAST_ROWS) else sizes, same, "left")
+    parts = F.coalesce(F.ceil(F.col("__n") * 2 / most), F.lit(1)).cast("int")
+    dealt = dealt.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(*order, *nested), F.col("parts")).cast("int"))
+    gathered = dealt.groupBy(*keys, "part", "parts").agg(F.array_sort(F.collect_list(body)).alias("__rows"))
     rows = F.transform("__rows", lambda r: r["row"])
-    return gathered.select(*keys, F.coalesce(checked, F.to_json(F.struct(*keys, rows.alias(name)), {"ignoreNullFields": "false"})).alias("json"))
+    return gathered.select(*keys, "part", "parts", F.to_json(F.struct(*keys, rows.alias(name)), {"ignoreNullFields": "false"}).alias("json"))

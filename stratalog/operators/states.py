@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.session import BROADCAST_ROWS, at_most
+
 
 def three_state(value: Column) -> Column:
     """Aggregate: UNKNOWN without any value, MULTIPLE_VALUES with several different ones, else REPORTED.
@@ -60,14 +62,9 @@ def pivot_states(df: DataFrame, keys: Sequence[str], field: str, value: str, fie
 
 
 def status_grid(subjects: DataFrame, fields: DataFrame, known: DataFrame, on: Sequence[str], state: str, default: str = "UNKNOWN") -> DataFrame:
-    """Every subject with every field and its state, `default` where known has none. fields is a dimension (its rows are broadcast)."""
-    rows = fields.count()
-    if rows > 10_000:
-        raise ValueError("fields must be a dimension of at most 10,000 rows")
-    grid = subjects.withColumn("__field", F.explode(F.array(*[F.struct(*[F.lit(x) for x in r]) for r in fields.collect()]))) if rows else None
-    if grid is None:
-        return subjects.limit(0)
-    grid = grid.select(*subjects.columns, *[F.col(f"__field.col{i + 1}").alias(c) for i, c in enumerate(fields.columns)])
+    """Every subject with every field and its state, `default` where known has none. A side of at most BROADCAST_ROWS rows is broadcast after a count; the grid itself is what is asked for."""
+    few = F.broadcast(fields) if at_most(fields, BROADCAST_ROWS) else fields
+    grid = subjects.crossJoin(few)
     return grid.join(known.select(*on, state), list(on), "left").withColumn(state, F.coalesce(F.col(state), F.lit(default)))
 
 

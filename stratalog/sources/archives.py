@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,19 +15,39 @@ from stratalog.functions.cells import split_quoted
 from stratalog.model.vocabulary import SOURCE_TABLES
 
 
+def _opened(path: str):
+    """The file under a URI, opened for reading at any place; nothing of it is held in memory."""
+    filesystem, at = fs.FileSystem.from_uri(path)
+    return filesystem.open_input_file(at)
+
+
+def _paths(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file under a path; only the names are read here, each file is opened by its task."""
+    return spark.read.format("binaryFile").load(path).select("path").repartition(64)
+
+
+def _sha256(file) -> str:
+    digest = hashlib.sha256()
+    while block := file.read(1 << 20):
+        digest.update(block)
+    return digest.hexdigest()
+
+
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """archive, member, size, sha256 of every member of the ZIP files under a path."""
 
     def describe(batches):
         for batch in batches:
             rows = []
-            for archive, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(archive, i.filename, i.file_size, hashlib.sha256(z.read(i)).hexdigest()) for i in z.infolist() if not i.is_dir()]
+            for archive in batch["path"]:
+                with _opened(archive) as f, zipfile.ZipFile(f) as z:
+                    for i in z.infolist():
+                        if not i.is_dir():
+                            with z.open(i) as member:
+                                rows.append((archive, i.filename, i.file_size, _sha256(member)))
             yield pd.DataFrame(rows, columns=["archive", "member", "size", "sha256"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(describe, "archive string, member string, size long, sha256 string")
+    return _paths(spark, path).mapInPandas(describe, "archive string, member string, size long, sha256 string")
 
 
 def member_lines(spark: SparkSession, path: str, member: str, rows: int = 20_000) -> DataFrame:
@@ -39,8 +59,8 @@ def member_lines(spark: SparkSession, path: str, member: str, rows: int = 20_000
 
     def read(batches):
         for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for archive in batch["path"]:
+                with _opened(archive) as f, zipfile.ZipFile(f) as z:
                     if member not in z.namelist():
                         continue
                     block = []
@@ -56,8 +76,7 @@ def member_lines(spark: SparkSession, path: str, member: str, rows: int = 20_000
                                 block = []
                     yield pd.DataFrame(block, columns=["archive", "line_number", "line", "valid"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(read, "archive string, line_number long, line string, valid boolean")
+    return _paths(spark, path).mapInPandas(read, "archive string, line_number long, line string, valid boolean")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

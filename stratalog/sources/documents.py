@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,15 +68,17 @@ _LOG = "seq long, session_id string, requested_at string, url string, final_url
 
 
 def fetch_log(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a fetch log (JSON lines); raises if a number is missing or a line does not name the hash of the line before it.
+    """The entries of a fetch log (JSON lines); raises if a number is missing or stands twice, or a line does not name the hash of the line before it.
 
-    The log is one ordered chain of small lines, so its check is one window over the log; the fetched bytes are no part of it.
+    Each line meets the one before it by its number, so the log is spread like any other table.
     """
     lines = spark.read.option("lineSep", "\n").text(path).where("value <> ''").withColumn("e", F.from_json("value", _LOG))
-    w = Window.orderBy("e.seq")
-    checked = lines.select("e", F.lag("e.seq").over(w).alias("before"), F.lag(F.sha2("value", 256)).over(w).alias("hash"))
-    broken = checked.where(F.col("e.seq").isNull() | (F.col("e.seq") != F.coalesce(F.col("before") + 1, F.lit(1))) | ~F.col("e.prev_sha256").eqNullSafe(F.col("hash")))
-    require_empty(broken.select("e.seq", "before"), "the fetch log is broken")
+    numbered = lines.select(F.col("e.seq").alias("seq"), F.col("e.prev_sha256").alias("prev"), F.sha2("value", 256).alias("hash"))
+    before = numbered.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("before")).dropDuplicates(["seq"])
+    checked = numbered.join(before, "seq", "left")
+    broken = checked.where(F.col("seq").isNull() | F.when(F.col("seq") == 1, F.col("prev").isNotNull()).otherwise(F.col("before").isNull() | ~F.col("prev").eqNullSafe(F.col("before")))).select("seq")
+    broken = broken.union(numbered.groupBy("seq").count().where("count > 1").select("seq"))
+    require_empty(broken, "the fetch log is broken")
     return lines.select("e.*")
 
 

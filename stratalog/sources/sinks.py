@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.profile import require_empty
@@ -40,10 +41,31 @@ def json_rows(df: DataFrame, order: Sequence[str], name: str = "json") -> DataFr
     return df.orderBy(*order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
+def _markdown(columns: Sequence[str]) -> Column:
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
 def report(df: DataFrame, title: str, rows: int = 1000) -> str:
-    """A small result as a Markdown table; refuses results with more rows than it says."""
-    taken = df.take(rows + 1)
+    """A small result as a Markdown table in one text; a result with more rows than it says goes through write_report."""
+    taken = df.select(_markdown(df.columns).alias("line")).take(rows + 1)
     if len(taken) > rows:
-        raise ValueError(f"a report has at most {rows} rows")
-    line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
-    return "\n".join([f"## {title}", "", line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in taken], ""])
+        raise ValueError(f"more than {rows} rows: write_report takes any number")
+    line = lambda xs: "| " + " | ".join(xs) + " |"
+    return "\n".join([f"## {title}", "", line(df.columns), line(["---"] * len(df.columns)), *[r["line"] for r in taken], ""])
+
+
+def write_report(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """A result of any size as Markdown table lines in text files, in order through the files, written by the executors. Each file begins with the table's head."""
+    head = "\n".join(["| " + " | ".join(df.columns) + " |", "| " + " | ".join(["---"] * len(df.columns)) + " |"])
+    lines = df.orderBy(*order).select(_markdown(df.columns).alias("line"))
+
+    def with_head(batches):
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
+                first = False
+            yield batch
+
+    lines.mapInArrow(with_head, "line string").write.text(path)

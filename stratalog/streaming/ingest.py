@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stratalog.session import cut
 from stratalog.sources.sinks import append_once
 
 
@@ -33,8 +34,26 @@ def load_available(stream: DataFrame, target: str, checkpoint: str, transform: C
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
 
 
+def keep_late(events: DataFrame, time: str, target: str, checkpoint: str, late: str = "2 hours") -> StreamingQuery:
+    """Write the events that come more than `late` behind the newest of all earlier batches to a table: those that windowed_counts and sessions leave out.
+
+    The newest time of each batch is kept beside the checkpoint, so a replayed batch is judged as before. Reads what is there, then ends.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = cut(batch, "batch")
+        newest = spark.read.parquet(f"{checkpoint}/newest/batch={number - 1}").first()["newest"] if number else None
+        told = batch.agg(F.greatest(F.max(time), F.lit(newest).cast("timestamp")).alias("newest"))
+        told.coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/newest/batch={number}")
+        if newest is not None:
+            append_once(batch.where(F.col(time) < F.lit(newest).cast("timestamp") - F.expr(f"interval {late}")), target, f"{checkpoint}/ledger", f"b{number:08d}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, time: str, keys: list[str], window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts per key and window of event time; events later than `late` behind the newest are dropped by the watermark."""
+    """Counts per key and window of event time; events later than `late` behind the newest are left out by the watermark; keep_late writes those down."""
     stream = events.withWatermark(time, late)
     counted = stream.groupBy(F.window(time, window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").alias("starts"), F.col("w.end").alias("ends"), *keys, "n")

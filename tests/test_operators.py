@@ -1,6 +1,7 @@
 """The operators of the evidence model on made-up rows: states, chains, periods, matching, cells, profiles and functions."""
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 import pytest
@@ -138,8 +139,30 @@ def test_approved_targets_plans_and_groups(spark):
     seen = spark.createDataFrame([("g1", None), ("g2", "A"), ("g2", "B"), ("g3", "C"), ("g4", "D"), ("g5", "E")], "g string, n string")
     aliases = spark.createDataFrame([("C", 1), ("C", 2), ("D", 3), ("D", 3)], "alias string, entity int")
     assert rows(matching.plan_entities(seen, aliases, "g", "n").select("g", "plan", "name")) == [("g1", "NO_NAME", None), ("g2", "CONFLICTING_NAMES", None), ("g3", "AMBIGUOUS_ALIAS", "C"), ("g4", "EXISTING", "D"), ("g5", "NEW", "E")]
-    facts = [("ok", 1, "BALANCE", ["p"]), ("ok", 2, "SPREAD", ["s"]), ("ok", 3, "PIK", ["k"]), ("overlap", 4, "BALANCE", ["p"]), ("overlap", 5, "SPREAD", ["p"]), ("lone", 6, "BALANCE", ["p"]), (None, 7, "BALANCE", ["p"]), (None, 8, "SPREAD", ["s"])]
-    assert rows(matching.fact_groups(spark.createDataFrame(facts, "k string, id int, role string, m array<string>"), ["k"], "id", "role", "m")) == [("ok", 1, 2, 3), (None, 7, 8, None)]
+    facts = [
+        ("ok", None, 1, "BALANCE", ["p"]), ("ok", " ", 2, "SPREAD", ["s"]), ("ok", "", 3, "PIK", ["k"]), ("overlap", "x", 4, "BALANCE", ["p"]), ("overlap", "x", 5, "SPREAD", ["p"]), ("lone", "x", 6, "BALANCE", ["p"]),
+        (None, "x", 7, "BALANCE", ["p"]), (None, "x", 8, "SPREAD", ["s"]), (" ", "x", 9, "BALANCE", ["p"]), (" ", "x", 10, "SPREAD", ["s"]), ("ok", "x", 11, "BALANCE", ["p"]), ("ok", "x", 12, "BALANCE", ["s"]), ("ok", "y", 13, "BALANCE", ["p"]), ("ok", "y", 14, None, ["s"]),
+    ]
+    groups = matching.fact_groups(spark.createDataFrame(facts, "k string, axis string, id int, role string, m array<string>"), ["k"], ["axis"], "id", "role", "m")
+    assert rows(groups) == sorted([("ok", None, "GROUPED", 1, 2, 3), ("overlap", "x", "COMMON_MEASURE", None, None, None), ("ok", "x", "ROLE_SHAPE", None, None, None), ("ok", "y", "UNKNOWN_ROLE", None, None, None)], key=str)
+    assert groups.limit(0).count() == 0
+
+
+def test_what_cannot_be_read_is_told(spark):
+    rows_ = spark.createDataFrame([(1, ["a"], ["x"]), (2, None, ["x"]), (3, ["a"], None), (4, ["a", "b"], ["x"])], "id int, h array<string>, c array<string>")
+    assert rows(cells.unpivot_rejects(rows_, ["id"], "h", "c")) == [(2, "NO_HEADER"), (3, "NO_CELLS"), (4, "WIDTH")]
+    assert rows(cells.array_rejects(rows_, ["id"], ["h", "c"])) == [(2, "NO_ARRAY"), (3, "NO_ARRAY"), (4, "UNEQUAL_LENGTHS")]
+    docs = spark.createDataFrame([(1, '{"a": 1.50, "b": 1e3, "c": [true, null]}'), (2, None), (3, "{"), (4, "")], "id int, d string")
+    assert rows(cells.json_rejects(docs, ["id"], "d")) == [(2, "NO_TEXT"), (3, "MALFORMED"), (4, "MALFORMED")]
+    assert {r.path: (r.type, r.text) for r in cells.flatten_json(docs, ["id"], "d").collect() if r.type in ("number", "boolean")} == {'$."a"': ("number", "1.50"), '$."b"': ("number", "1e3"), '$."c"[0]': ("boolean", "true")}
+
+
+def test_chain_ends(spark):
+    df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, 5), (7, 5)], "id int, supersedes_id int")
+    assert rows(chains.chain_ends(df)) == [(1, 4), (2, 4), (3, 4), (4, 4), (5, 6), (5, 7), (6, 6), (7, 7)]
+    assert chains.chain_ends(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        chains.chain_ends(spark.createDataFrame([(1, 2), (2, 1)], "id int, supersedes_id int"), depth=8)
 
 
 def test_near_names(spark):
@@ -183,8 +206,11 @@ def test_reading(spark):
     assert rows(reading.signals(df, ["g"], {"BIG": (F.col("d") > 3, F.col("d")), "NAMED": (F.col("a") == "Nim", F.col("a"))})) == [(1, "NAMED", "Nim"), (3, "BIG", "4")]
     assert rows(reading.timeline(("x", df.select("g", "d")), ("y", df.select("d", "a").limit(0)))) == [("x", 1), ("x", 2), ("x", 3), ("x", 3), ("x", 4)]
     assert [r.json for r in reading.documents(df.where("g = 1"), ["g"], ["a"], ["d"]).collect()] == ['{"g":1,"items":[{"a":"Nim"},{"a":"Vor"}]}']
-    with pytest.raises(Exception, match="too many rows"):
-        reading.documents(df, ["g"], ["a"], ["d"], most=1).collect()
+    many = spark.createDataFrame([(1, i, f"n{i}") for i in range(40)] + [(2, 0, "x"), (None, 0, "y")], "g int, d int, a string")
+    parts = reading.documents(many, ["g"], ["a"], ["d"], most=10).collect()
+    assert {(r.g, r.parts) for r in parts} == {(1, 8), (2, 1), (None, 1)} and len(parts) > 4
+    assert sorted(x["a"] for r in parts for x in json.loads(r.json)["items"]) == sorted(r.a for r in many.collect())
+    assert all([int(x["a"][1:]) for x in json.loads(r.json)["items"]] == sorted(int(x["a"][1:]) for x in json.loads(r.json)["items"]) for r in parts if r.g == 1)
 
 
 def test_integrity(spark):

@@ -1,5 +1,6 @@
 """Sources, sinks, streams and the document parsers, on made-up files."""
 
+import datetime as dt
 import hashlib
 import json
 import zipfile
@@ -128,6 +129,22 @@ def test_streams(spark, tmp_path):
     assert ingest.sessions(make(0, 5).union(make(100, 102)), "at", []).count() == 2
 
 
+def test_late_events_are_kept(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("events", "late", "ck"))
+    at = lambda i, hour: spark.createDataFrame([(i, dt.datetime(2099, 1, 1, hour))], "id long, at timestamp").coalesce(1).write.mode("append").parquet(source)
+    for i, hour in ((1, 2), (2, 9), (3, 8), (4, 3)):
+        at(i, hour)
+        ingest.keep_late(ingest.new_files(spark, source, "id long, at timestamp"), "at", target, checkpoint, "2 hours").awaitTermination()
+    assert [r.id for r in spark.read.parquet(target).collect()] == [4]
+
+
+def test_report_of_any_size(spark, tmp_path):
+    df = spark.range(50).select("id", F.lit("a|b").alias("t"))
+    sinks.write_report(df, str(tmp_path / "r"), ["id"])
+    lines = [x.value for x in spark.read.text(str(tmp_path / "r")).collect()]
+    assert {x for x in lines if x[2:3].isdigit()} == {f"| {i} | a\\|b |" for i in range(50)} and "| id | t |" in lines
+
+
 def test_rules_and_vocabularies(spark):
     one = rules.rule("r", "NORMALISE", "1", "a")
     catalogue = rules.rules_frame(spark, [one])
