@@ -55,7 +55,7 @@ UNION ALL SELECT 1000001 + n, CASE WHEN n % 3 = 0 THEN 'L2_ORIGINAL_FILING' ELSE
 FROM (VALUES (0), (1), (2), (3), (4), (5), (6)) AS x(n)""",
     "raw.table_load": "SELECT table_load_id AS id, artifact_id, table_code, row_count, parse_status, header FROM {table_load}",
     "raw.tabular_row": "SELECT soi_row_id AS id, table_load_id, CASE WHEN soi_row_id % 41 = 0 THEN 'FIELD_COUNT_MISMATCH' ELSE 'OK' END AS parse_status FROM {soi_row_observation}",
-    "ops.projection_exception": "SELECT table_load_id, CASE line_number % 3 WHEN 0 THEN 'ORPHAN_ADSH' WHEN 1 THEN 'FIELD_COUNT_MISMATCH' ELSE 'OTHER' END AS kind FROM {soi_row_observation} WHERE soi_row_id % 37 = 0",
+    "ops.projection_exception": "SELECT soi_row_id AS id, CASE WHEN soi_row_id % 5 = 0 THEN table_load_id + 1 ELSE table_load_id END AS table_load_id, soi_row_id AS tabular_row_id, CASE line_number % 3 WHEN 0 THEN 'ORPHAN_ADSH' WHEN 1 THEN 'FIELD_COUNT_MISMATCH' ELSE 'OTHER' END AS kind FROM {soi_row_observation} WHERE soi_row_id % 37 = 0",
     "ops.run": "SELECT table_load_id AS id, CASE WHEN table_load_id % 2 = 0 THEN 'LOAD' ELSE 'BIND' END AS run_kind, recorded_at AS started_at FROM {table_load}",
     "ops.run_outcome": "SELECT table_load_id AS run_id, CASE WHEN table_load_id % 4 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, recorded_at AS finished_at FROM {table_load} WHERE table_load_id % 3 <> 0",
     "ops.artifact_processing": "SELECT table_load_id * 2 + k AS id, artifact_id, CASE (table_load_id + k) % 3 WHEN 0 THEN 'SCHEMA_DRIFT' ELSE 'LOADED' END AS outcome FROM {table_load} CROSS JOIN (VALUES (0), (1)) AS x(k) WHERE table_load_id % 4 <> 0 UNION ALL SELECT -1, -3, 'LOADED'",
@@ -91,15 +91,15 @@ SELECT f.filing_id * 10 + k.k AS id, CAST(NULL AS BIGINT) AS supersedes_id, f.fi
   CASE WHEN f.filing_id % 31 = 0 THEN 'UNKNOWN' ELSE 'REPORTED' END AS value_state, 1000001 + f.filing_id % 7 AS evidence_id
 FROM {filing} f CROSS JOIN (VALUES (1, 1, 'FORM'), (2, 9, 'FORM'), (3, 1, 'FILED_DATE'), (4, 3, 'FILE_NUMBER'), (5, 2, 'INLINE_URL')) AS k(k, every, code) WHERE f.filing_id % k.every = 0""",
     "registry.filing_document": """
-SELECT f.filing_id * 2 + k.k AS id, f.filing_id, CASE WHEN f.filing_id % 6 = 0 THEN 'https://example.org/' ELSE 'https://www.sec.gov/Archives/edgar/data/' END || CAST(f.filing_id AS STRING) || '/' || CAST(k.k AS STRING) || '.htm' AS document_url,
+SELECT f.filing_id * 2 + k.k AS id, f.filing_id, CASE WHEN f.filing_id % 6 = 0 THEN 'https://example.org/' ELSE 'https://www.sec.gov/Archives/edgar/data/' END || CAST(CASE WHEN f.filing_id % 11 = 0 THEN 0 ELSE f.registrant_id * 11 END AS STRING) || '/' || replace(f.accession_number, '-', '') || '/' || CAST(k.k AS STRING) || '.htm' AS document_url,
   CAST(k.k AS STRING) || '.htm' AS document_name, k.named_by FROM {filing} f CROSS JOIN (VALUES (0, 'FILING_INDEX'), (1, 'SUBMISSIONS_PRIMARY_DOCUMENT')) AS k(k, named_by) WHERE k.k = 1 OR f.filing_id % 3 = 0""",
     "registry.filing_document_artifact": "SELECT filing_id * 2 + 1 AS filing_document_id, CAST(-3 AS BIGINT) AS artifact_id FROM {filing} WHERE filing_id % 5 <> 0",
     "registry.bdc_report_edition": "SELECT n AS id, 'https://example.org/files/' || CAST(n AS STRING) || '.csv' AS csv_url FROM (SELECT DISTINCT table_load_id % 40 AS n FROM {table_load}) x",
-    "registry.dataset_release": "SELECT table_load_id AS id, '2099_' || CAST(table_load_id AS STRING) AS release_label FROM {table_load}",
+    "registry.dataset_release": "SELECT table_load_id AS id, '2099_' || lpad(CAST(table_load_id AS STRING), 2, '0') AS release_label, make_date(2099, CAST(1 + (table_load_id - 1) % 12 AS INT), 1) AS window_start, last_day(make_date(2099, CAST(1 + (table_load_id - CASE WHEN table_load_id % 5 = 0 THEN 2 ELSE 1 END) % 12 AS INT), 1)) AS window_end FROM {table_load}",
     "registry.dataset_release_artifact": "SELECT table_load_id AS dataset_release_id, artifact_id FROM {table_load} UNION ALL SELECT table_load_id - 1, artifact_id FROM {table_load} WHERE table_load_id % 7 = 0",
     "registry.dataset_release_listing": "SELECT table_load_id AS dataset_release_id FROM {table_load} CROSS JOIN (VALUES (0), (1)) AS x(k) WHERE table_load_id % 3 <> 1",
-    "obs.soi_row_observation": "SELECT soi_row_id AS id, soi_row_id AS tabular_row_id, identifier_raw, qtrs FROM {soi_row_observation}",
-    "obs.soi_row_classification": "SELECT soi_row_id * 2 + k AS id, CASE WHEN k = 1 THEN soi_row_id * 2 END AS supersedes_id, soi_row_id AS soi_row_observation_id, CASE (soi_row_id + k) % 3 WHEN 0 THEN 'CURRENT' ELSE 'COMPARATIVE' END AS period_role FROM {soi_row_observation} CROSS JOIN (VALUES (0), (1)) AS x(k) WHERE soi_row_id % 3 <> 0 AND (k = 0 OR soi_row_id % 10 = 1)",
+    "obs.soi_row_observation": "SELECT soi_row_id AS id, soi_row_id AS tabular_row_id, identifier_raw, qtrs, filing_id, reported_date FROM {soi_row_observation}",
+    "obs.soi_row_classification": "SELECT soi_row_id * 2 + k AS id, CASE WHEN k = 1 THEN soi_row_id * 2 END AS supersedes_id, soi_row_id AS soi_row_observation_id, CASE (soi_row_id + k) % 3 WHEN 0 THEN 'CURRENT' ELSE 'COMPARATIVE' END AS period_role, CASE WHEN soi_row_id % 13 = 0 THEN 'SUBTOTAL_ROW' WHEN soi_row_id % 17 = 0 THEN 'TOTAL_ROW' ELSE 'IDENTIFIER_ROW' END AS row_kind, 1000001 + soi_row_id % 7 AS evidence_id FROM {soi_row_observation} CROSS JOIN (VALUES (0), (1)) AS x(k) WHERE soi_row_id % 3 <> 0 AND (k = 0 OR soi_row_id % 10 = 1)",
     "obs.position_observation": "SELECT soi_row_id AS id, filing_id, reported_date, duration_kind, soi_row_id AS origin_soi_row_observation_id, identifier_raw AS holding_descriptor_raw, 1000001 + soi_row_id % 7 AS evidence_id FROM {soi_row_observation} WHERE identifier_raw IS NOT NULL",
     "obs.position_field_value": f"""
 SELECT (b.s * 20 + b.n) * 4 + k.step AS id, CASE WHEN k.step = 2 THEN (b.s * 20 + b.n) * 4 END AS supersedes_id, b.s AS position_observation_id, b.field_code, b.value_state, CASE WHEN b.n % 2 = 0 THEN 'Label ' || CAST(b.n AS STRING) ELSE b.field_code END AS source_column_label,
@@ -119,7 +119,7 @@ SELECT soi_row_id * 2 + k AS id, CASE WHEN k = 1 THEN soi_row_id * 2 END AS supe
   CASE WHEN (soi_row_id + k) % 4 = 3 THEN CAST(2026 + soi_row_id % 6 AS INT) END AS displayed_year, CASE WHEN (soi_row_id + k) % 4 = 3 THEN CAST(1 + (length(identifier_raw) * 10 + 7) % 12 AS INT) END AS displayed_month,
   CASE WHEN (soi_row_id + k) % 4 = 0 THEN 'NO_ROW' END AS no_bind_reason, 1000001 + (soi_row_id + k) % 7 AS evidence_id
 FROM {soi_row_observation} CROSS JOIN (VALUES (0), (1)) AS x(k) WHERE identifier_raw IS NOT NULL AND soi_row_id % 5 <> 4 AND (k = 0 OR soi_row_id % 10 = 2)""",
-    "obs.borrower_name_observation": f"SELECT id, CASE WHEN id % 19 = 0 THEN id - 1 END AS supersedes_id, soi_row_id AS position_observation_id, source_column_label, extraction_state, normalized_text FROM ({_NAMES}) n",
+    "obs.borrower_name_observation": f"SELECT id, CASE WHEN id % 19 = 0 THEN id - 1 END AS supersedes_id, soi_row_id AS position_observation_id, source_column_label, extraction_state, CASE WHEN id % 23 <> 0 THEN normalized_text END AS normalized_text FROM ({_NAMES}) n",
     "validation.evidence_status_assertion": f"""
 SELECT (b.s * 20 + b.n) * 2 + k AS id, CASE WHEN k = 1 THEN (b.s * 20 + b.n) * 2 END AS supersedes_id, (b.s * 20 + b.n) * 4 + CASE WHEN (b.s * b.n) % 10 = 0 THEN 2 ELSE 0 END AS field_value_id, CASE (b.s + b.n + k) % 3 WHEN 0 THEN 'FILING_VERIFIED' WHEN 1 THEN 'FILING_MISMATCH' ELSE 'CHECK_FAILED' END AS evidence_status, b.s AS validation_result_id
 FROM ({_VALUES}) b CROSS JOIN (VALUES (0), (1)) AS x(k) WHERE (b.s + b.n) % 4 = 0 AND (k = 0 OR b.s % 3 = 0)""",
@@ -131,6 +131,19 @@ FROM ({_VALUES}) b CROSS JOIN (VALUES (0), (1)) AS x(k) WHERE (b.s + b.n) % 4 =
 SELECT n_nationkey * 2 + k AS id, CASE WHEN k = 1 THEN n_nationkey * 2 END AS supersedes_id, {_ENTITY.format('n_nationkey')} AS from_legal_entity_id, CASE WHEN k = 1 AND n_nationkey % 4 = 0 THEN 'PROBABLE' WHEN k = 1 THEN 'REJECTED' ELSE 'MATCHED' END AS state,
   CASE WHEN k = 0 OR n_nationkey % 4 = 0 THEN {_ENTITY.format('CASE WHEN n_nationkey IN (21, 22) THEN 43 - n_nationkey ELSE n_nationkey + 2 + k END')} END AS to_legal_entity_id
 FROM {{nation}} CROSS JOIN (VALUES (0), (1)) AS x(k) WHERE n_nationkey % 5 <> 3 AND n_nationkey < 23 AND (k = 0 OR n_nationkey % 2 = 0 AND n_nationkey < 20)""",
+    "obs.position_observation_source": """
+SELECT soi_row_id AS position_observation_id, soi_row_id + k.step AS soi_row_observation_id, k.source_role FROM {soi_row_observation} CROSS JOIN (VALUES (0, 1, 'PRIMARY'), (1, 9, 'SECONDARY')) AS k(step, every, source_role)
+WHERE identifier_raw IS NOT NULL AND soi_row_id % k.every = 0 AND (soi_row_id % 29 <> 0 OR k.step = 1)""",
+    "obs.soi_fact_group": "SELECT soi_row_id AS id, filing_id FROM {soi_row_observation} WHERE soi_row_id % 10 = 0",
+    "obs.soi_fact_group_member": "SELECT s.soi_row_id - k.step AS group_id, s.soi_row_id AS soi_row_observation_id, s.filing_id, CASE WHEN s.soi_row_id % 70 = 1 THEN 'PIK' ELSE k.role END AS member_role FROM {soi_row_observation} s CROSS JOIN (VALUES (0, 'BALANCE'), (1, 'SPREAD'), (2, 'PIK')) AS k(step, role) WHERE (s.soi_row_id - k.step) % 10 = 0 AND s.soi_row_id % 40 <> 0",
+    "obs.num_fact_observation": "SELECT tabular_row_id AS id, 1 + tabular_row_id % 97 AS filing_id FROM {ok_row}",
+    "obs.field_value_corroboration": f"SELECT (b.s * 20 + b.n) * 4 AS field_value_id, 1 + b.s % 300 AS num_fact_observation_id FROM ({_VALUES}) b WHERE b.n = 3",
+    "resolution.position": "SELECT 'P' || s.identifier_raw AS id, min(f.registrant_id) AS registrant_id FROM {soi_row_observation} s JOIN {filing} f ON f.filing_id = s.filing_id WHERE s.identifier_raw IS NOT NULL GROUP BY s.identifier_raw",
+    "validation.validation_result": "SELECT soi_row_id AS id, CASE WHEN soi_row_id % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS outcome, 1000001 + soi_row_id % 7 AS evidence_id FROM {soi_row_observation}",
+    "derived.derived_value": "SELECT soi_row_id AS id, CASE WHEN soi_row_id % 12 = 0 THEN 'NORMALISATION' ELSE 'DERIVATION' END AS rule_kind FROM {soi_row_observation} WHERE soi_row_id % 4 = 0",
+    "derived.derived_value_input": f"SELECT b.s AS derived_value_id, (b.s * 20 + b.n) * 4 AS field_value_id FROM ({_VALUES}) b WHERE b.s % 4 = 0 AND b.s % 16 <> 0 AND b.n <= 3",
+    "derived.observation_event": "SELECT soi_row_id AS id, soi_row_id AS position_observation_id, CASE WHEN soi_row_id % 21 = 0 THEN NULL ELSE reported_date END AS event_date, 1000001 + CASE WHEN soi_row_id % 25 = 0 THEN 0 ELSE soi_row_id % 7 END AS evidence_id, 'FIRST_OBSERVED' AS event_type FROM {soi_row_observation} WHERE soi_row_id % 3 = 0",
+    "obs.maturity_inspection_candidate": "SELECT soi_row_id * 2 AS maturity_inspection_id, soi_row_id AS num FROM {soi_row_observation} WHERE soi_row_id % 6 = 0",
     "identity.legal_entity": f"SELECT {_ENTITY.format('n_nationkey')} AS id, n_name AS display_name FROM {{nation}}",
     "identity.legal_entity_identifier": f"SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN s_suppkey - 1 END AS supersedes_id, {_ENTITY.format('s_nationkey')} AS legal_entity_id, CASE WHEN s_suppkey % 2 = 0 THEN 'LEI' ELSE 'CIK' END AS scheme, CASE WHEN s_suppkey % 3 = 0 THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS verification_state, CASE WHEN s_suppkey % 4 = 0 THEN 'PARENT' ELSE 'OWN' END AS relationship_role FROM {{supplier}}",
 }

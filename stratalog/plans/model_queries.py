@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from stratalog.plans.assertions import Assertions
 from stratalog.plans.evidence_tables import tables, with_sql
-from stratalog.plans.positions import AMOUNTS, DOCUMENT_PREFIX, INLINE_PREFIX, LINE_TEXTS, RATES, WIDE, Positions
+from stratalog.plans.positions import AMOUNTS, DOCUMENT_PREFIX, INLINE_PREFIX, LINE_TEXTS, RATES, WIDE
 from stratalog.plans.reference import quotient
 from stratalog.plans.views import COVERED_CELLS, HEADS
 
@@ -40,8 +41,8 @@ VIEWS: dict[str, str] = {}
 ENTITY, LABEL = "N07", "2099_20"
 
 
-def _model(spark, sf) -> Positions:
-    return Positions(tables(spark, sf))
+def _model(spark, sf) -> Assertions:
+    return Assertions(tables(spark, sf))
 
 
 def view(name: str, sql: str, call: Callable | None = None, columns: list[str] | None = None) -> None:
@@ -386,4 +387,69 @@ view(
   (SELECT count(*) FROM ops_projection_exception x WHERE x.table_load_id = d.id AND kind = 'ORPHAN_ADSH') AS orphan_adsh_count, (SELECT count(*) FROM ops_projection_exception x WHERE x.table_load_id = d.id AND kind = 'FIELD_COUNT_MISMATCH') AS quarantined_mismatch_count FROM raw_table_load d WHERE table_code = 'SOI'""",
 )
 
+
+# Integrity rules ----------------------------------------------------------------------------------------------------
+def rules(name: str, rows: str, id_column: str, conditions: dict[str, str], distinct: bool = False) -> None:
+    """view for an assertion: rows is a FROM clause, conditions say what is wrong."""
+    view(name, " UNION ALL ".join(f"SELECT {'DISTINCT ' if distinct else ''}{id_column}::VARCHAR AS id, '{rule}' AS rule FROM {rows} WHERE {condition}" for rule, condition in conditions.items()))
+
+
+rules(
+    "evidence_locators", "evidence_evidence e LEFT JOIN raw_table_load l ON l.artifact_id = e.artifact_id", "e.id",
+    {"SHAPE": "locator_type = 'TSV_CELL' AND (column_label IS NULL OR row_number IS NULL OR column_number IS NULL) OR locator_type = 'TSV_ROW' AND row_number IS NULL OR locator_type = 'JSON_PATH' AND json_path IS NULL", "LABEL": "locator_type = 'TSV_CELL' AND header IS NOT NULL AND header[column_number] IS DISTINCT FROM column_label"}, True,
+)
+rules(
+    "position_origins", "obs_position_observation p LEFT JOIN obs_soi_row_observation o ON o.id = p.origin_soi_row_observation_id LEFT JOIN v_current_soi_row_classification c ON c.soi_row_observation_id = p.origin_soi_row_observation_id", "p.id",
+    {"ORIGIN": "o.id IS NULL", "FILING": "o.filing_id <> p.filing_id", "DATE": "o.id IS NOT NULL AND o.reported_date IS DISTINCT FROM p.reported_date", "TEXT": "o.id IS NOT NULL AND o.identifier_raw IS DISTINCT FROM p.holding_descriptor_raw", "KIND": "o.id IS NOT NULL AND c.row_kind IS DISTINCT FROM 'IDENTIFIER_ROW'"},
+)
+view(
+    "position_sources",
+    """SELECT p.id::VARCHAR AS id, 'FILING' AS rule FROM obs_position_observation_source s JOIN obs_position_observation p ON p.id = s.position_observation_id LEFT JOIN obs_soi_row_observation o ON o.id = s.soi_row_observation_id WHERE o.filing_id IS DISTINCT FROM p.filing_id
+UNION ALL SELECT p.id::VARCHAR, 'PRIMARY' FROM obs_position_observation_source s JOIN obs_position_observation p ON p.id = s.position_observation_id WHERE source_role = 'PRIMARY' AND s.soi_row_observation_id <> p.origin_soi_row_observation_id
+UNION ALL SELECT p.id::VARCHAR, 'NO_PRIMARY' FROM obs_position_observation p WHERE NOT EXISTS (SELECT 1 FROM obs_position_observation_source s WHERE s.position_observation_id = p.id AND source_role = 'PRIMARY')""",
+)
+rules(
+    "fact_group_members", "obs_soi_fact_group g", "g.id",
+    {"FILING": "EXISTS (SELECT 1 FROM obs_soi_fact_group_member m WHERE m.group_id = g.id AND m.filing_id <> g.filing_id)", "EMPTY": "NOT EXISTS (SELECT 1 FROM obs_soi_fact_group_member m WHERE m.group_id = g.id)",
+     "SHAPE": "(SELECT count(*) > 0 AND NOT (count(*) FILTER (member_role = 'BALANCE') = 1 AND count(*) FILTER (member_role = 'SPREAD') = 1 AND count(*) FILTER (member_role = 'PIK') <= 1) FROM obs_soi_fact_group_member m WHERE m.group_id = g.id)"},
+)
+_NUMBERS, _DATES = "('PRINCIPAL_AMOUNT', 'COST', 'FAIR_VALUE', 'INTEREST_RATE', 'SPREAD', 'INTEREST_RATE_FLOOR')", "('MATURITY_DATE', 'ACQUISITION_DATE')"
+rules(
+    "field_values", "obs_position_field_value v LEFT JOIN evidence_evidence e ON e.id = v.evidence_id", "v.id",
+    {"KIND": f"normalized_numeric IS NOT NULL AND field_code NOT IN {_NUMBERS} OR normalized_date IS NOT NULL AND field_code NOT IN {_DATES}", "MONTH": f"date_precision = 'MONTH' AND (field_code NOT IN {_DATES} OR normalized_date IS NOT NULL)",
+     "SOURCE": "value_state = 'REPORTED' AND column_mapping_id IS NULL AND evidence_level IS DISTINCT FROM 'L2_ORIGINAL_FILING'", "TEXT": "value_state = 'REPORTED' AND raw_value IS NULL"},
+)
+rules("corroborations", "obs_field_value_corroboration c JOIN obs_position_field_value v ON v.id = c.field_value_id JOIN obs_position_observation p ON p.id = v.position_observation_id LEFT JOIN obs_num_fact_observation n ON n.id = c.num_fact_observation_id", "c.field_value_id", {"FACT": "n.id IS NULL", "FILING": "n.filing_id <> p.filing_id"})
+rules("continuity_registrants", "resolution_position_continuity_decision d JOIN resolution_position x ON x.id = d.position_id JOIN obs_position_observation p ON p.id = d.position_observation_id", "d.id", {"REGISTRANT": "state = 'MATCHED' AND NOT EXISTS (SELECT 1 FROM h_registry_filing_registrant_link l WHERE l.filing_id = p.filing_id AND l.registrant_id = x.registrant_id)"})
+rules("evidence_statuses", "validation_evidence_status_assertion a LEFT JOIN validation_validation_result r ON r.id = a.validation_result_id LEFT JOIN evidence_evidence e ON e.id = r.evidence_id", "a.id", {"PASS": "evidence_status = 'FILING_VERIFIED' AND outcome IS DISTINCT FROM 'PASS'", "LEVEL": "evidence_status = 'FILING_VERIFIED' AND evidence_level IS DISTINCT FROM 'L2_ORIGINAL_FILING'"})
+view(
+    "derived_values",
+    """WITH i AS (SELECT derived_value_id AS id, v.*, EXISTS (SELECT 1 FROM obs_position_field_value s WHERE s.supersedes_id = v.id) AS gone, (SELECT mapping_status FROM v_current_mapping_status m WHERE m.mapping_id = v.column_mapping_id) AS mapping_status FROM derived_derived_value_input x JOIN (SELECT * RENAME (id AS vid), id FROM obs_position_field_value) v ON v.id = x.field_value_id)
+SELECT id::VARCHAR AS id, 'RULE' AS rule FROM derived_derived_value WHERE rule_kind <> 'DERIVATION' UNION ALL SELECT id::VARCHAR, 'NO_INPUT' FROM derived_derived_value d WHERE NOT EXISTS (SELECT 1 FROM derived_derived_value_input x WHERE x.derived_value_id = d.id)
+UNION ALL SELECT DISTINCT id::VARCHAR, 'SUPERSEDED' FROM i WHERE gone UNION ALL SELECT DISTINCT id::VARCHAR, 'MAPPING' FROM i WHERE column_mapping_id IS NOT NULL AND coalesce(mapping_status NOT LIKE 'DOCUMENTED%', true) UNION ALL SELECT DISTINCT id::VARCHAR, 'UNKNOWN' FROM i WHERE value_state = 'UNKNOWN'""",
+)
+rules("filing_documents", f"registry_filing_document d JOIN registry_filing f ON f.id = d.filing_id JOIN (SELECT filing_id, min(cik) AS cik FROM v_current_filing_registrant WHERE registrant_link_status = 'LINKED' GROUP BY 1) l ON l.filing_id = d.filing_id", "d.id", {"URL": f"document_url <> '{DOCUMENT_PREFIX}' || cik || '/' || replace(accession_number, '-', '') || '/' || document_name"})
+_MONTH = "try_strptime(CASE WHEN regexp_full_match(release_label, '[0-9]{4}_[0-9]{2}') THEN release_label END, '%Y_%m')::DATE"
+rules("dataset_releases", "registry_dataset_release", "id", {"LABEL": f"{_MONTH} IS NULL", "WINDOW": f"{_MONTH} <> window_start OR last_day({_MONTH}) <> window_end"})
+rules("load_headers", "raw_table_load", "id", {"HEADER": "(header IS NULL OR len(header) = 0) AND (row_count > 0 OR table_code <> 'SOI')"})
+rules("projection_exceptions", "ops_projection_exception x LEFT JOIN raw_tabular_row t ON t.id = x.tabular_row_id", "x.id", {"LOAD": "t.table_load_id IS DISTINCT FROM x.table_load_id", "STATUS": "(kind = 'FIELD_COUNT_MISMATCH') <> (parse_status = 'FIELD_COUNT_MISMATCH')"})
+rules("observation_events", "derived_observation_event v JOIN obs_position_observation p ON p.id = v.position_observation_id", "v.id", {"DATE": "event_date IS DISTINCT FROM reported_date", "EVIDENCE": "v.evidence_id IS DISTINCT FROM p.evidence_id"})
+TEXTS["observation_event_listing"] = ["event_date"]
+view("observation_event_listing", "SELECT id, position_observation_id, event_type, event_date, evidence_id FROM derived_observation_event")
+rules("row_classifications", "obs_soi_row_classification c JOIN obs_soi_row_observation o ON o.id = c.soi_row_observation_id LEFT JOIN evidence_evidence e ON e.id = c.evidence_id", "c.id", {"IDENTIFIER": "row_kind = 'IDENTIFIER_ROW' AND coalesce(trim(identifier_raw), '') = '' OR row_kind = 'TOTAL_ROW' AND coalesce(trim(identifier_raw), '') <> ''", "LEVEL": "row_kind = 'SUBTOTAL_ROW' AND evidence_level IS DISTINCT FROM 'L2_ORIGINAL_FILING'"})
+rules(
+    "maturity_inspections", "obs_maturity_inspection i LEFT JOIN evidence_evidence e ON e.id = i.evidence_id", "i.id",
+    {"DAY": "inspection_state = 'FILING_DISPLAYED' AND (normalized_date IS NULL OR displayed_year IS NOT NULL OR displayed_month IS NOT NULL)", "MONTH": "inspection_state = 'FILING_MONTH' AND (normalized_date IS NOT NULL OR displayed_year IS NULL OR coalesce(displayed_month, 0) NOT BETWEEN 1 AND 12)",
+     "NOTHING": "inspection_state NOT LIKE 'FILING%' AND (normalized_date IS NOT NULL OR displayed_year IS NOT NULL OR raw_value IS NOT NULL)", "LEVEL": "inspection_state LIKE 'FILING%' AND evidence_level IS DISTINCT FROM 'L2_ORIGINAL_FILING'",
+     "CANDIDATE": "inspection_state <> 'UNRESOLVED' AND EXISTS (SELECT 1 FROM obs_maturity_inspection_candidate c WHERE c.maturity_inspection_id = i.id)"},
+)
+rules(
+    "name_observations", "obs_borrower_name_observation n LEFT JOIN obs_borrower_name_observation b ON b.id = n.supersedes_id", "n.id",
+    {"TEXT": "(n.extraction_state = 'EXTRACTED') <> (n.normalized_text IS NOT NULL)", "SUCCESSOR": "b.id IS NOT NULL AND (n.position_observation_id, n.source_column_label, n.extraction_state, n.normalized_text) IS NOT DISTINCT FROM (b.position_observation_id, b.source_column_label, b.extraction_state, b.normalized_text)"},
+)
+rules(
+    "name_chains", "obs_borrower_name_observation n LEFT JOIN obs_borrower_name_observation b ON b.id = n.supersedes_id", "n.id",
+    {"SELF": "n.supersedes_id = n.id", "DANGLING": "n.supersedes_id IS NOT NULL AND b.id IS NULL", "SUBJECT": "b.id IS NOT NULL AND (n.position_observation_id IS DISTINCT FROM b.position_observation_id OR n.source_column_label IS DISTINCT FROM b.source_column_label)", "FORK": "EXISTS (SELECT 1 FROM obs_borrower_name_observation s WHERE s.supersedes_id = n.supersedes_id AND s.id <> n.id)"},
+)
+
 SQL = {name: with_sql(sql, VIEWS) for name, sql in SQL.items()}
