@@ -87,6 +87,18 @@ def segment_member(segments: Column, axis: str = "InvestmentIdentifier") -> Colu
     return F.coalesce(F.nullif(F.btrim(typed), F.lit("")), F.nullif(F.btrim(plain), F.lit("")))
 
 
+def names_axis(segments: Column, axes: tuple[str, ...]) -> Column:
+    """Whether a segment list has a pair of one of these axes; the name must begin a pair. False for null."""
+    pairs = F.transform(F.split(segments, ";"), lambda p: F.regexp_extract(F.btrim(p), r"\A([A-Za-z]+)(?:\([^)]*\))?=", 1))
+    return F.coalesce(F.arrays_overlap(pairs, F.array(*[F.lit(a) for a in axes])), F.lit(False))
+
+
+def disclosed_text(text: Column) -> tuple[Column, Column]:
+    """(state, text) of a disclosed member: UNKNOWN for null and empty, else as it stands."""
+    known = F.nullif(text, F.lit(""))
+    return F.when(known.isNull(), "UNKNOWN").otherwise("REPORTED"), known
+
+
 def source_field(path: Column) -> Column:
     """A JSON path with its indexes made general."""
     return F.regexp_replace(path, r"\[[0-9]+\]", "[*]")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.functions import text as tx
 from stratalog.session import cut
 
 
@@ -23,6 +24,23 @@ def unique_match(left: DataFrame, right: DataFrame, left_id: str, on: Sequence[s
     return joined.select(left_id, outcome.alias("outcome"), F.when(F.col("__n") == 1, F.col("__only")).alias("matched"))
 
 
+def currency_plan(heads: DataFrame, facts: DataFrame, id_column: str, on: Sequence[str], value: str, unit: str, excluded: str) -> DataFrame:
+    """id, outcome, unit: what the facts of one scope (`on`) say about the currency of each amount.
+
+    In this order: NO_FACT, EXCLUDED (all facts of the scope have a forbidden axis), NOT_EQUAL (no usable fact of that value), NO_CURRENCY (equal ones, but none in three
+    capital letters), MULTIPLE (several different ones), else PROMOTE with that unit. Facts are counted per scope and value before they meet the heads, so a
+    scope with many facts makes no pairs.
+    """
+    f = facts.select(*on, F.col(value).alias("__v"), tx.iso_currency(F.col(unit)).alias("__u"), F.coalesce(F.col(excluded), F.lit(False)).alias("__x"))
+    scope = f.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.count_if(~F.col("__x")).alias("__usable"))
+    equal = f.where(~F.col("__x")).groupBy(*on, "__v").agg(F.min("__u").alias("__low"), F.max("__u").alias("__high"), F.lit(True).alias("__equal"))
+    rows = heads.select(id_column, *on, F.col(value).alias("__v")).join(scope, list(on), "left").join(equal, [*on, "__v"], "left")
+    outcome = (
+        F.when(F.col("__n").isNull(), "NO_FACT").when(F.col("__usable") == 0, "EXCLUDED").when(F.col("__equal").isNull(), "NOT_EQUAL").when(F.col("__low").isNull(), "NO_CURRENCY").when(F.col("__low") != F.col("__high"), "MULTIPLE").otherwise("PROMOTE")
+    )
+    return rows.select(id_column, outcome.alias("outcome"), F.when(outcome == "PROMOTE", F.col("__low")).alias("unit"))
+
+
 def reject_shared(binds: DataFrame, target: str) -> DataFrame:
     """binds with target null and shared true where several rows bind the same target: then none of them does."""
     shared = binds.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("__t")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__t", F.lit(True).alias("__s"))

@@ -136,7 +136,9 @@ SELECT soi_row_id AS position_observation_id, soi_row_id + k.step AS soi_row_obs
 WHERE identifier_raw IS NOT NULL AND soi_row_id % k.every = 0 AND (soi_row_id % 29 <> 0 OR k.step = 1)""",
     "obs.soi_fact_group": "SELECT soi_row_id AS id, filing_id FROM {soi_row_observation} WHERE soi_row_id % 10 = 0",
     "obs.soi_fact_group_member": "SELECT s.soi_row_id - k.step AS group_id, s.soi_row_id AS soi_row_observation_id, s.filing_id, CASE WHEN s.soi_row_id % 70 = 1 THEN 'PIK' ELSE k.role END AS member_role FROM {soi_row_observation} s CROSS JOIN (VALUES (0, 'BALANCE'), (1, 'SPREAD'), (2, 'PIK')) AS k(step, role) WHERE (s.soi_row_id - k.step) % 10 = 0 AND s.soi_row_id % 40 <> 0",
-    "obs.num_fact_observation": "SELECT tabular_row_id AS id, 1 + tabular_row_id % 97 AS filing_id FROM {ok_row}",
+    "obs.num_fact_observation": """
+SELECT tabular_row_id AS id, 1 + tabular_row_id % 97 AS filing_id, CAST(CASE WHEN tabular_row_id % 2 = 0 THEN 303 + tabular_row_id % 3 * 10 ELSE 100 + tabular_row_id % 90 * 10 END AS DECIMAL(38, 10)) AS value, CASE tabular_row_id % 5 WHEN 0 THEN 'pure' WHEN 1 THEN 'EUR' ELSE 'USD' END AS unit,
+  CASE tabular_row_id % 7 WHEN 0 THEN 'InvestmentIdentifier=a;Range=Minimum' WHEN 1 THEN 'InvestmentIdentifier=Range=x' ELSE 'InvestmentIdentifier=a' END AS segments FROM {ok_row}""",
     "obs.field_value_corroboration": f"SELECT (b.s * 20 + b.n) * 4 AS field_value_id, 1 + b.s % 300 AS num_fact_observation_id FROM ({_VALUES}) b WHERE b.n = 3",
     "resolution.position": "SELECT 'P' || s.identifier_raw AS id, min(f.registrant_id) AS registrant_id FROM {soi_row_observation} s JOIN {filing} f ON f.filing_id = s.filing_id WHERE s.identifier_raw IS NOT NULL GROUP BY s.identifier_raw",
     "validation.validation_result": "SELECT soi_row_id AS id, CASE WHEN soi_row_id % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS outcome, 1000001 + soi_row_id % 7 AS evidence_id FROM {soi_row_observation}",

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from stratalog.plans.assertions import Assertions
 from stratalog.plans.evidence_tables import tables, with_sql
 from stratalog.plans.positions import AMOUNTS, DOCUMENT_PREFIX, INLINE_PREFIX, LINE_TEXTS, RATES, WIDE
+from stratalog.plans.readers import Readers
 from stratalog.plans.reference import quotient
 from stratalog.plans.views import COVERED_CELLS, HEADS
 
@@ -35,14 +35,21 @@ TEXTS = {
     "borrower_position_valuation": [*_PAIR, "fair_value_delta", "fair_value_change_percent", "fair_value_to_principal", "fair_value_to_cost"],
     "borrower_refinancing_outcomes": [*_PAIR, "event_date"],
     "portfolio_period_changes": ["principal_delta", "cost_delta", "fair_value_delta"],
+    **dict.fromkeys(["comparison_fields", "amount_review_fields"], _PAIR),
+    **dict.fromkeys(["borrower_detail", "position_groups"], ["first_date", "last_date"]),
+    "comparison_availability": ["latest_date"],
+    "borrowers": ["latest_reported_date", "latest_date"],
+    "historical_positions": ["reported_date"],
+    "valuation_history": ["later_date"],
+    "maturity_wall": ["reported_date"],
 }
 VIEWS: dict[str, str] = {}
 #: Fixed value: the entity that parameterised queries ask for; the made tables give every entity some names.
 ENTITY, LABEL = "N07", "2099_20"
 
 
-def _model(spark, sf) -> Assertions:
-    return Assertions(tables(spark, sf))
+def _model(spark, sf) -> Readers:
+    return Readers(tables(spark, sf))
 
 
 def view(name: str, sql: str, call: Callable | None = None, columns: list[str] | None = None) -> None:
@@ -452,4 +459,61 @@ rules(
     {"SELF": "n.supersedes_id = n.id", "DANGLING": "n.supersedes_id IS NOT NULL AND b.id IS NULL", "SUBJECT": "b.id IS NOT NULL AND (n.position_observation_id IS DISTINCT FROM b.position_observation_id OR n.source_column_label IS DISTINCT FROM b.source_column_label)", "FORK": "EXISTS (SELECT 1 FROM obs_borrower_name_observation s WHERE s.supersedes_id = n.supersedes_id AND s.id <> n.id)"},
 )
 
+# What readers make of it --------------------------------------------------------------------------------------------
+_FIELDS_LONG = " UNION ALL ".join(f"SELECT position_id, earlier_id, later_id, earlier_date, later_date, '{n}' AS field, {n}_comparison AS state, {n}_changed AS changed, e_{n}_raw AS earlier_raw, l_{n}_raw AS later_raw FROM v_borrower_comparisons" for n in (*AMOUNTS, *RATES, "maturity", "acquisition"))
+entity("comparison_fields", _FIELDS_LONG)
+entity("amount_review_fields", "SELECT * FROM v_comparison_fields WHERE field IN ('principal', 'cost', 'fair_value')")
+entity("stored_differences", "SELECT earlier_id, later_id, field, concat_ws(' -> ', earlier_raw, later_raw) AS difference FROM v_comparison_fields WHERE state = 'COMPARABLE' AND changed")
+entity("maturity_change_lines", "SELECT earlier_id, later_id, difference FROM v_stored_differences WHERE field = 'maturity'")
+entity("what_changed", " UNION ALL ".join(f"SELECT position_id, earlier_id, later_id, '{n}' AS field, " + (f"CASE WHEN {n}_delta > 0 THEN 'UP' WHEN {n}_delta < 0 THEN 'DOWN' END" if n in (*AMOUNTS, *RATES) else "'OTHER'") + f" AS direction FROM v_borrower_comparisons WHERE {n}_changed" for n in (*AMOUNTS, *RATES, "maturity", "acquisition")))
+view("comparison_availability", "SELECT e.canonical_id, count(c.later_id) AS comparison_count, max(c.later_date) AS latest_date FROM (SELECT DISTINCT canonical_id FROM v_canonical_legal_entity WHERE canonical_id IS NOT NULL) e LEFT JOIN v_canonical_legal_entity l ON l.canonical_id = e.canonical_id LEFT JOIN v_position_period_comparison c ON c.l_legal_entity_id = l.legal_entity_id AND c.e_legal_entity_id = l.legal_entity_id GROUP BY 1")
+view("borrowers", "SELECT b.*, a.comparison_count, a.latest_date FROM (SELECT legal_entity_id, display_name, count(*) AS name_count, count(DISTINCT registrant_cik) AS registrant_count, max(reported_date) AS latest_reported_date FROM v_borrower_observation_listing GROUP BY 1, 2) b LEFT JOIN v_comparison_availability a ON a.canonical_id = b.legal_entity_id")
+entity("borrower_detail", "SELECT registrant_cik, count(*) AS line_count, min(reported_date) AS first_date, max(reported_date) AS last_date, CASE count(DISTINCT normalized_text) WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'REPORTED' ELSE 'MULTIPLE_VALUES' END AS name_state, CASE WHEN count(DISTINCT normalized_text) = 1 THEN min(normalized_text) END AS name FROM v_borrower_observation_listing WHERE legal_entity_id = {entity} GROUP BY 1")
+_FOUR = "CASE WHEN count(*) = 0 THEN 'UNKNOWN' WHEN count(*) > 1 THEN 'MULTIPLE_VALUES' WHEN min(value_state) = 'REPORTED' AND count(raw_value) = 0 THEN 'UNKNOWN' ELSE min(value_state) END"
+entity(
+    "historical_positions",
+    "SELECT r.filing_id, r.position_observation_id, registrant_cik, reported_date, holding_descriptor_raw, principal_raw, fair_value_raw, i.*, t.*, document_name, document_url FROM v_borrower_position_observations r "
+    + " ".join(f"LEFT JOIN LATERAL (SELECT {_FOUR} AS {n}_state, CASE WHEN {_FOUR} = 'REPORTED' THEN min(raw_value) END AS {n}_raw FROM v_research_fields f WHERE f.position_observation_id = r.position_observation_id AND field_code = '{c}') {a} ON true" for a, c, n in (("i", "INDUSTRY", "industry"), ("t", "INSTRUMENT_TYPE", "instrument_type")))
+    + " LEFT JOIN v_filing_shown s ON s.filing_id = r.filing_id",
+)
+entity("position_groups", "SELECT registrant_cik, count(*) AS line_count, count(DISTINCT reported_date) AS date_count, min(reported_date) AS first_date, max(reported_date) AS last_date FROM v_historical_positions GROUP BY 1")
+_METRICS = ("fair_value_delta", "fair_value_change_percent", "fair_value_to_principal", "fair_value_to_cost")
+entity("valuation_history", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT position_id, later_id, later_date, {' OR '.join(f'{x} IS NULL' for x in _METRICS)} AS has_unknown, '{m}' AS metric, {m}::VARCHAR AS text FROM v_borrower_position_valuation" for m in _METRICS) + ") WHERE text IS NOT NULL")
+entity("maturity_wall", "SELECT position_observation_id, reported_date, maturity_raw, maturity_precision_class, maturity_bucket_year, (SELECT count(*) FROM v_borrower_maturity_observations WHERE maturity_observation_state LIKE 'UNRESOLVED%') AS unresolved_count FROM v_borrower_maturity_observations WHERE maturity_observation_state = 'OBSERVED'")
+entity(
+    "comparison_traces",
+    "SELECT c.earlier_id, c.later_id, f.field_code, "
+    + ", ".join(f"(SELECT list(id ORDER BY id) FROM v_current_position_field_value v WHERE v.position_observation_id = c.{s}_id AND v.field_code = f.field_code) AS {s}_ids" for s in ("earlier", "later"))
+    + " FROM v_borrower_comparisons c CROSS JOIN (VALUES ('PRINCIPAL_AMOUNT'), ('COST'), ('FAIR_VALUE')) AS f(field_code)",
+)
+view("list_portfolios", "SELECT * FROM v_portfolio_registrant WHERE contains(lower(concat_ws(' ', registrant_cik, CASE WHEN name_state = 'REPORTED' THEN name_raw END)), '7')", lambda m, spark, sf: m.list_portfolios("7"))
+view("list_registrant_coverage", "SELECT c.*, s.value AS name_raw FROM v_market_registrant_coverage c LEFT JOIN v_registrant_attribute_status s ON s.registrant_id = c.registrant_id AND s.attribute_code = 'NAME' WHERE contains(lower(concat_ws(' ', registrant_cik, s.value)), 'a')", lambda m, spark, sf: m.list_registrant_coverage("A"))
+_JSON = "to_json({{{0}}})::VARCHAR AS json"
+
+
+def _document(*columns: str) -> str:
+    return _JSON.format(", ".join(f"'{c}': {c}::VARCHAR" for c in sorted(columns)))
+
+
+view(
+    "market_directory",
+    f"""SELECT 'registrant' AS kind, registrant_cik AS key, {_document('registrant_id', 'registrant_cik', 'coverage_state')} FROM v_market_registrant_coverage
+UNION ALL SELECT 'release', release_label, {_document('release_label', 'coverage_state', 'registrants_observed', 'dates_observed')} FROM v_market_release_coverage UNION ALL SELECT 'date', reported_date::VARCHAR, {_document('reported_date', 'registrants_observed')} FROM v_market_reported_date""",
+)
+view(
+    "series_coverage",
+    """WITH s AS (SELECT position_id, count(DISTINCT reported_date) AS dates, count(*) AS lines FROM v_position_read WHERE continuity_state = 'MATCHED' AND position_id IS NOT NULL AND reported_date IS NOT NULL GROUP BY 1)
+SELECT CASE WHEN dates = 1 THEN 'ONE_DATE' WHEN EXISTS (SELECT 1 FROM v_position_period_comparison c WHERE c.position_id = s.position_id) THEN 'COMPARED' ELSE 'NOT_COMPARED' END AS series_kind, count(*) AS series_count, sum(lines)::BIGINT AS line_count FROM s GROUP BY 1""",
+)
+view(
+    "currency_plan",
+    """WITH f AS (SELECT *, regexp_matches(segments, '(^|;)(Range|InvestmentCompanyNonconsolidatedSubsidiary)=') AS x FROM obs_num_fact_observation),
+h AS (SELECT v.id, p.filing_id, v.normalized_numeric AS value FROM v_current_position_field_value v JOIN obs_position_observation p ON p.id = v.position_observation_id WHERE field_code = 'FAIR_VALUE' AND value_state = 'REPORTED' AND currency_state = 'UNKNOWN'),
+j AS (SELECT h.id, (SELECT count(*) FROM f WHERE f.filing_id = h.filing_id) AS n, (SELECT count(*) FROM f WHERE f.filing_id = h.filing_id AND NOT x) AS usable, (SELECT count(*) FROM f WHERE f.filing_id = h.filing_id AND NOT x AND f.value = h.value) AS equal,
+  (SELECT count(DISTINCT unit) FROM f WHERE f.filing_id = h.filing_id AND NOT x AND f.value = h.value AND regexp_full_match(unit, '[A-Z]{3}')) AS units, (SELECT min(unit) FROM f WHERE f.filing_id = h.filing_id AND NOT x AND f.value = h.value AND regexp_full_match(unit, '[A-Z]{3}')) AS one FROM h)
+SELECT id, CASE WHEN n = 0 THEN 'NO_FACT' WHEN usable = 0 THEN 'EXCLUDED' WHEN equal = 0 THEN 'NOT_EQUAL' WHEN units = 0 THEN 'NO_CURRENCY' WHEN units > 1 THEN 'MULTIPLE' ELSE 'PROMOTE' END AS outcome, CASE WHEN units = 1 THEN one END AS unit FROM j""",
+)
+view("matchable_instruments", f"SELECT p.id AS position_observation_id, t.type_state, trim(holding_descriptor_raw) <> '' AND t.type_state = 'REPORTED' AS can_match FROM obs_position_observation p LEFT JOIN LATERAL (SELECT {_FOUR} AS type_state FROM v_research_fields f WHERE f.position_observation_id = p.id AND field_code = 'INSTRUMENT_TYPE') t ON true")
+asked("lines_at", "SELECT count(DISTINCT id) AS observation_count FROM v_lines WHERE reported_date = (SELECT later FROM v_asked)", lambda m, cik, earlier, later: m.lines_at(later))
+
 SQL = {name: with_sql(sql, VIEWS) for name, sql in SQL.items()}
