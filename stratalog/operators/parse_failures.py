@@ -128,10 +128,11 @@ def parse_failures(lines: DataFrame, loads: DataFrame, load_key: str, keys: list
     """
     formats = FORMATS if formats is None else formats
     rows = split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line, formats)
-    return _failures(rows, keys, formats)
+    return failures_of(rows, keys, formats)
 
 
-def _failures(rows: DataFrame, keys: list[str], formats: dict) -> DataFrame:
+def failures_of(rows: DataFrame, keys: list[str], formats: dict) -> DataFrame:
+    """parse_failures of lines that split_lines has split already."""
     found = cut(_findings(rows, keys), "findings")
     cells = found.where("column is not null")
     bad = guarded_join(cells, cut(invalid_values(cells, formats), "invalid"), ["code", "column", "text"])
@@ -144,6 +145,6 @@ def loaded_rows(lines: DataFrame, loads: DataFrame, load_key: str, keys: list[st
     """keys, table_code and record (map of label to cell) of every line that parse_failures does not name. The lines are split once and written down."""
     formats = FORMATS if formats is None else formats
     rows = cut(split_lines(lines.select(*dict.fromkeys([load_key, *keys, line])), loads, load_key, line, formats), "lines")
-    failed = _failures(rows, keys, formats).where("reason = 'invalid_value'").select(*keys)
+    failed = failures_of(rows, keys, formats).where("reason = 'invalid_value'").select(*keys)
     good = guarded_join(rows.where("structure is null"), failed, keys, "left_anti")
     return good.select(*keys, F.col("__code").alias("table_code"), F.map_from_arrays("__header", "__cells").alias("record"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratalog.operators import chains, periods, reading, states
 from stratalog.operators.joins import guarded_join
 from stratalog.plans.views import NAME_COLUMN, Evidence, checked_cik
+from stratalog.session import cut
 
 #: Fields of the wide read and their names there; the first three are amounts with a currency.
 WIDE = {"PRINCIPAL_AMOUNT": "principal", "COST": "cost", "FAIR_VALUE": "fair_value", "INTEREST_RATE": "interest_rate", "SPREAD": "spread", "INTEREST_RATE_FLOOR": "interest_rate_floor", "ACQUISITION_DATE": "acquisition"}
@@ -287,7 +288,8 @@ class Positions(Evidence):
         Amounts compare only in one known currency, days with days and months with months. A date with several rows of a position pairs with nothing and
         keeps its neighbours apart.
         """
-        read = self.position_read().where("continuity_state = 'MATCHED' and position_id is not null and reported_date is not null")
+        # Read three times below, so written once.
+        read = cut(self.position_read().where("continuity_state = 'MATCHED' and position_id is not null and reported_date is not null"), "confirmed")
         pairs = periods.consecutive_pairs(read, ["position_id"], "reported_date", "position_observation_id")
         cells = [f"{n}_{x}" for n in AMOUNTS for x in ("state", "raw", "numeric", "currency_state", "currency_code")] + [f"{n}_{x}" for n in RATES for x in ("state", "raw", "numeric")]
         cells += [f"maturity_{x}" for x in ("source", "raw", "date", "precision", "year", "month")] + [f"acquisition_{x}" for x in ("state", "raw", "date", "precision", "year", "month")]

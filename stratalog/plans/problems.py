@@ -131,7 +131,7 @@ c AS (
 
 
 
-def _p6_sql() -> str:
+def p6_sql(*further: str) -> str:
     """The lines with their cells and reason `why` (null: sound), by regular expressions over whole lines."""
     cell_of = lambda d: rf'"(?:[^"]|"")*"|[^"{d}][^{d}]*|'
     whole = lambda d: rf"regexp_full_match(s, '(?:{cell_of(d)})(?:{d}(?:{cell_of(d)}))*')"
@@ -155,15 +155,15 @@ WITH l AS (
 q AS (SELECT *, CASE WHEN d = ',' THEN {whole(',')} ELSE {whole(tab)} END AS whole, CASE WHEN d = ',' THEN {cells(',')} ELSE {cells(tab).replace(f"'{tab}' || s", "chr(9) || s")} END AS quoted FROM l),
 c AS (SELECT *, list_transform(quoted, lambda x: CASE WHEN x[1] = '"' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS cells FROM q),
 r AS (
-  SELECT table_load_id, line_number, table_code, cells, CASE WHEN raw_line IS NOT NULL AND NOT whole THEN 'quoting' WHEN raw_line IS NULL OR header IS NULL OR len(cells) <> len(header) THEN 'field_count'
+  SELECT table_load_id, line_number, table_code, cells{''.join(', ' + x for x in further)}, CASE WHEN raw_line IS NOT NULL AND NOT whole THEN 'quoting' WHEN raw_line IS NULL OR header IS NULL OR len(cells) <> len(header) THEN 'field_count'
     WHEN table_code = 'SOI' AND NOT ({" AND ".join(soi)}) OR table_code = 'NUM' AND NOT ({" AND ".join(num)}) OR table_code = 'BDC_REPORT' AND NOT ({" AND ".join(bdc)}) THEN 'invalid_value' END AS why
   FROM c)
 """
 
 
 SQL = {
-    "p6_found": _p6_sql() + "SELECT table_load_id, line_number, why AS reason FROM r WHERE why IS NOT NULL",
-    "p6_loaded": _p6_sql() + "SELECT table_load_id, line_number, table_code, cells FROM r WHERE why IS NULL",
+    "p6_found": p6_sql() + "SELECT table_load_id, line_number, why AS reason FROM r WHERE why IS NOT NULL",
+    "p6_loaded": p6_sql() + "SELECT table_load_id, line_number, table_code, cells FROM r WHERE why IS NULL",
     "p1_found": """
 WITH d AS (
   SELECT registrant_id, attribute_code, source_as_of, normalized_value,

@@ -23,7 +23,7 @@ def _opened(path: str):
 
 def _paths(spark: SparkSession, path: str) -> DataFrame:
     """One row per file under a path; only the names are read here, each file is opened by its task."""
-    return spark.read.format("binaryFile").load(path).select("path").repartition(64)
+    return spark.read.format("binaryFile").load(path).select("path").repartition(spark.sparkContext.defaultParallelism)
 
 
 def _sha256(file) -> str:

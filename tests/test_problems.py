@@ -235,3 +235,15 @@ def test_split_join_spreads_equal_rows_of_a_hot_key(spark):
     joined = split_join(many, few, ["k"], hot_share=0.1)
     assert joined.count() == 401
     assert many.limit(0).count() == split_join(many.limit(0), few, ["k"]).count() == split_join(many, few.limit(0), ["k"]).count() == 0
+
+
+def test_load_units_append_once(spark, sf, tmp_path):
+    from stratalog.plans.load import Unit, append_unit
+
+    unit = Unit(table(spark, sf, "tsv_line"), table(spark, sf, "table_load"), table(spark, sf, "filing"), "SOI")
+    assert all(df.isEmpty() for df in unit.checks().values())
+    assert append_unit(unit, str(tmp_path), "b1") and not append_unit(unit, str(tmp_path), "b1")
+    told = spark.read.parquet(f"{tmp_path}/soi_coverage").agg({"landed": "sum", "projected": "sum", "set_aside": "sum"}).first()
+    assert told["sum(landed)"] == told["sum(projected)"] + told["sum(set_aside)"] == spark.read.parquet(f"{tmp_path}/soi_tabular_rows").count() > 0
+    nothing = Unit(table(spark, sf, "tsv_line").limit(0), table(spark, sf, "table_load"), table(spark, sf, "filing"), "NUM")
+    assert nothing.observations().isEmpty() and {r.coverage_state for r in nothing.coverage().collect()} <= {"EMPTY", "SCHEMA_DRIFT"}
