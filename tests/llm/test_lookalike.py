@@ -11,6 +11,21 @@ SAME = [
 OTHER = ["ACME INC.", "Acme Inc", "Societe", "fine_flow", "fine—flow", "Acme  Inc.", "Bcme Inc."]
 
 
+def test_invisible_in_any_writing(spark):
+    # Fillers whose other writing is an invisible one, format controls, a blank symbol, and letters of further alphabets.
+    pairs = [("a\u3164b", "ab"), ("a\uffa0b", "ab"), ("a\u1160b", "ab"), ("a\u2062b", "ab"), ("a\U000e0041b", "ab"), ("a\u2800b", "a b"), ("\u13a0\u13a1 \ua4d0", "DR B"), ("\u0585\u057d", "ou"), ("\u2c9e\u2ca3", "Op")]
+    forms = {r.raw: r.form for r in with_form(spark.createDataFrame([(x,) for x, _ in pairs], "raw string")).collect()}
+    for raw, want in pairs:
+        assert forms[raw] == visible_form(raw) == want, ascii(raw)
+    assert visible_form("a\u0600b") == "a\u0600b"  # a sign that shows
+
+
+def test_pairs_when_nothing_is_broadcast(spark):
+    rows = [("soi", 1, i, x) for i, x in enumerate([*SAME[0], "Acme Inc.", "Acme Inc.", *OTHER])]
+    df = spark.createDataFrame(rows, "record_kind string, scope long, id long, raw string")
+    assert sorted(tuple(r) for r in lookalike_pairs(df, 0).collect()) == brute(rows)
+
+
 def test_forms(spark):
     texts = [x for group in SAME for x in group] + OTHER + [None, "x" * 100_000 + "а"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, raw string")
