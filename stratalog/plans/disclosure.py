@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import text as tx
 from stratalog.functions import values as vx
+from stratalog.model.vocabulary import SOI_HEADER
 from stratalog.operators import cells, chains, periods, profile, states
 from stratalog.operators.joins import guarded_join
 from stratalog.plans.problems import accession18
@@ -15,12 +16,6 @@ from stratalog.session import table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-#: The documented first columns of a schedule table.
-SOI_PRESET = (
-    "adsh", "cik", "name", "ddate", "qtrs", "form", "filed", "period", "inlineurl", "cstm", "Industry Sector Axis", "Investment, Identifier Axis", "Investment, Issuer Affiliation Axis", "Investment Type Axis",
-    "Investment Interest Rate", "Investment, Basis Spread, Variable Rate", "Investment Maturity Date", "Investment Owned, Balance, Principal Amount", "Investment Owned, Cost", "Investment Owned, Fair Value", "Investment Owned, Net Assets, Percentage",
-)
-
 
 def query(sql: str | None = None):
     def register(f):
@@ -136,13 +131,13 @@ def num_fact_reading(spark, sf):
 
 @query(
     "SELECT table_load_id, array_to_string(list_filter(header, lambda x: NOT list_contains(["
-    + ", ".join("'" + x + "'" for x in SOI_PRESET)
+    + ", ".join("'" + x + "'" for x in SOI_HEADER)
     + "], x)), '|') AS undocumented, array_to_string(list_filter(["
-    + ", ".join("'" + x + "'" for x in SOI_PRESET)
+    + ", ".join("'" + x + "'" for x in SOI_HEADER)
     + "], lambda x: NOT list_contains(header, x)), '|') AS missing FROM table_load WHERE table_code = 'SOI'"
 )
 def header_difference(spark, sf):
-    extra, missing = profile.header_difference(F.col("header"), SOI_PRESET)
+    extra, missing = profile.header_difference(F.col("header"), SOI_HEADER)
     return table(spark, sf, "table_load").where("table_code = 'SOI'").select("table_load_id", F.array_join(extra, "|").alias("undocumented"), F.array_join(missing, "|").alias("missing"))
 
 

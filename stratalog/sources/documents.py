@@ -58,9 +58,13 @@ def page_anchors(pages: DataFrame, key: str, html: str, pattern: str = r'<a\s[^>
     return found.groupBy(key, "href").agg(F.min(F.struct("pos", "label")).alias("first")).select(key, "first.pos", "href", "first.label")
 
 
+#: Fixed value: how an archive of a release is named at the end of its address.
+_ARCHIVE = r"/([0-9]{4}(?:q[1-4]|_[0-9]{2}))_bdc\.zip\z"
+
+
 def release_anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Anchors that name an archive `<label>_bdc.zip`, with label and window (cadence, starts, ends)."""
-    anchors = page_anchors(pages, key, html).withColumn("release", F.regexp_extract("href", r"/([0-9]{4}(?:q[1-4]|_[0-9]{2}))_bdc\.zip\z", 1)).where("release <> ''")
+    anchors = page_anchors(pages, key, html).withColumn("release", F.regexp_extract("href", _ARCHIVE, 1)).where("release <> ''")
     return anchors.select(key, "pos", "href", F.col("release"), release_window(F.col("release")).alias("window"))
 
 

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions.inline_xbrl import context_rows, document_blocks, document_facts, schedule_blocks
+from stratalog.functions.inline_xbrl import context_rows, document_blocks, document_facts, schedule_blocks, shown_dates
 from stratalog.model import rules, vocabulary
 from stratalog.model.vocabulary import FILING_ARRAYS, NUM_HEADER, SOI_HEADER
 from stratalog.operators.cells import flatten
@@ -218,6 +218,11 @@ def test_schedule_blocks(spark):
     assert {(r.context, r.period_end, r.text) for r in document_facts(df, "doc", "html").collect()} == {("c1", "2099-03-31", "1,200"), ("c9", None, "1,200"), ("c2", "2099-03-31", "(7)")}
 
 
+def test_shown_dates():
+    assert shown_dates("due 3/31/2030, 12/2031 or 1/2/20 (/4/5/2032/) 13/14/15/2033 x7/2034y 123/2035 //") == (["3/31/2030", "4/5/2032"], ["12/2031", "7/2034"])
+    assert shown_dates("") == ([], [])
+
+
 def test_context_rows():
     rows = context_rows(HTML)
     assert [(r["contexts"], r["dates"], r["months"], r["maturity_column"]) for r in rows] == [(["c1"], ["3/31/2101"], [], 6), (["c9"], [], [], 6), (["c2"], [], ["4/2102"], 6)]
