@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from functools import cache, lru_cache
 from itertools import permutations
 
@@ -182,7 +183,7 @@ def parse_name(text: str, usual: dict[str, int] | None = None) -> tuple[list[str
 DIFFERENT, SAME, FIRST_SHORT, SECOND_SHORT, BOTH_SHORT = 0, 1, 2, 3, 4
 
 
-def _word_cost(a: str, cut_a: bool, b: str, cut_b: bool) -> tuple[int, int]:
+def word_cost(a: str, cut_a: bool, b: str, cut_b: bool) -> tuple[int, int]:
     """Edits between two name words (9: different), and which one is a short form of the other, if only that makes them agree (else SAME)."""
     if a == b:
         return 0, SAME
@@ -256,7 +257,7 @@ def agreement(words_a: list[str], cut_a: list[bool], words_b: list[str], cut_b:
     if len(rest_a) == len(rest_b):
         if sum(not c for _, c in rest_a) > 3 + sum(c for _, c in rest_b):  # each pair of whole words costs an edit
             return DIFFERENT
-        costs = [[_word_cost(*a, *b) for b in rest_b] for a in rest_a]
+        costs = [[word_cost(*a, *b) for b in rest_b] for a in rest_a]
         chosen = [costs[i][k] for i, k in enumerate(_assigned([[c + 0.01 * (side != SAME) for c, side in row] for row in costs]))]
         if sum(c for c, _ in chosen) > 3:
             return DIFFERENT
@@ -298,19 +299,47 @@ def word_keys(words: list[str], cuts: list[bool]) -> list[tuple[str, int]]:
 
 #: Letters of a word beyond which its forms are pieces rather than what deletions leave; words that differ in length by edits may have both.
 LONG = 24
+#: Letters of a cut word that are compared with the beginnings of whole words where it may hold an edit itself.
+_BEGUN = 6
 
 
-def word_forms(word: str, cut: bool) -> list[tuple[str, bool]]:
-    """Texts of which two agreeing words have one in common, and whether only a short form asks for it.
+def word_forms(word: str, cut: bool) -> list[tuple[str, int]]:
+    """Texts of which any two words that may agree (see word_cost) have one in common, with roles as those of blocks: 0 meets 0, 1 meets all, 2 meets 1.
 
-    Two words within so many edits have a form in common that lacks as many letters of each. Of long words one of four pieces
-    of six letters outlives three edits, and then stands at most three places off. A short form is a beginning of its word.
+    Two words within so many edits have a form in common that lacks as many letters of each. Of long words one of seven pieces
+    of three letters outlives three edits, each of which touches at most two of them, and then stands at most three places off. A short
+    form asks for the words that begin with it; if cut by a point, also for those that begin with it but for one edit.
     """
-    if cut:
-        return [(f"c:{word[:LONG]}", True)]
     most = 0 if len(word) < 4 else 1 if len(word) < 7 else 2 if len(word) < 9 else 3
-    forms = set(_shortened(word, most)) if len(word) <= LONG + 3 else set()
+    forms = dict.fromkeys(_shortened(word, most) if len(word) <= LONG + 3 else (), 0)
     if len(word) >= LONG - 2:
-        forms |= {f"{i}:{word[max(0, 6 * i + k) : 6 * i + k + 6]}" for i in range(4) for k in range(-3, 4)}
-    beginnings = [(f"c:{word[:k]}", False) for k in range(1, min(len(word), LONG) + 1)]
-    return [(x, False) for x in sorted(forms)] + beginnings
+        forms |= {f"{i}:{word[3 * i + k : 3 * i + k + 3]}": 2 for i in range(7) for k in range(-3, 4) if 3 * i + k >= 0}
+        forms |= {f"{i}:{word[3 * i : 3 * i + 3]}": 1 for i in range(7)}
+    forms |= {f"c:{word[:k]}": 2 for k in range(1, min(len(word), LONG) + 1)}
+    if cut or len(word) >= 4:
+        forms[f"c:{word[:LONG]}"] = 1
+    if cut and len(word) >= 4:
+        forms |= dict.fromkeys((f"e:{x}" for x in _shortened(word[:_BEGUN], 1)), 1)
+    elif len(word) >= 4:
+        forms |= {f"e:{x}": 2 for k in range(3, _BEGUN + 2) for x in _shortened(word[:k], 1)}
+    return sorted(forms.items())
+
+
+@cache
+def _letter_code(letter: str) -> int:
+    return int.from_bytes(hashlib.blake2b(letter.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+
+
+def letter_forms(words: list[str]) -> set[int]:
+    """Codes of the letters of all words in no order, of which two spellings that agree by words written together or apart have one in common.
+
+    Such spellings have the same letters but for two edits, or for none below eight letters. Equal codes of other letters
+    only cost a comparison.
+    """
+    counts = Counter("".join(words))
+    whole = sum(n * _letter_code(x) for x, n in counts.items())
+    fewer = {whole}
+    if counts.total() >= 8:
+        fewer |= {whole - _letter_code(x) for x in counts}
+        fewer |= {whole - _letter_code(x) - _letter_code(y) for x in counts for y in counts if x != y or counts[x] > 1}
+    return {(x + 2**63) % 2**64 - 2**63 for x in fewer}

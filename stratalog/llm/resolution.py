@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.names import BOTH_SHORT, BUSINESS, DIFFERENT, FIRST_SHORT, SAME, SECOND_SHORT, agreement, split_name, word_forms, word_keys
+from stratalog.llm.names import BOTH_SHORT, BUSINESS, DIFFERENT, FIRST_SHORT, SAME, SECOND_SHORT, agreement, letter_forms, split_name, word_cost, word_forms, word_keys
 from stratalog.operators.joins import guarded_join
 from stratalog.session import cut
 
@@ -29,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Texts or pairs of spellings that one Python task takes; shuffled by number, as their bytes say little about their work.
 TASK_TEXTS, TASK_PAIRS = 5_000, 50_000
-#: Spellings of one block that are compared pair by pair; greater blocks are split by the other words of their spellings.
+#: Words whose forms, some thousands each at most, are in memory at once.
+FORM_WORDS = 500
+#: Spellings of one block that are compared pair by pair; in greater ones only those that are near by words or letters, which all that agree are.
 BLOCK = 500
 #: Different names that must end in a word for it to be learnt as a business word, as a number and as a share of all texts.
 LEARNT_NAMES, LEARNT_SHARE = 6, 1e-4
@@ -78,68 +80,116 @@ def _named(texts: DataFrame) -> DataFrame:
 
 
 # Blocks: rows (sid, key, role). Role 0 meets every other row of its key; 1 asks (a short form) and meets every row; 2 is met by askers only.
-_BLOCKS = "sid long, key string, role int, used array<int>"
+_BLOCKS = "sid long, key string, role int"
 
 
 def _first_blocks(spellings: DataFrame) -> DataFrame:
-    kinds = {"sid": pa.int64(), "key": pa.string(), "role": pa.int32(), "used": pa.list_(pa.int32())}
+    kinds = {"sid": pa.int64(), "key": pa.string(), "role": pa.int32()}
 
     def run(batches):
         for batch in batches:
             rows = []
             for sid, words, cuts, business, series in zip(*(c.to_pylist() for c in batch.columns)):
-                for key, at in word_keys(words, cuts):
+                for key, _ in word_keys(words, cuts):
                     role = 0 if key[0] != "i" else 1 if all(cuts) else 2
-                    rows.append((sid, f"{key}|{business}|{series}", role, [at] if at >= 0 else list(range(len(words)))))
+                    rows.append((sid, f"{key}|{business}|{series}", role))
             if rows:
                 yield _arrow(rows, kinds)
 
     return spellings.select("sid", "words", "cuts", "business", "series").mapInArrow(run, _BLOCKS)
 
 
-def _finer_blocks(great: DataFrame, forms: DataFrame) -> DataFrame:
-    """The rows of blocks that are too great in finer blocks: those of the forms of each word that their key has not used yet."""
-    kinds = {"sid": pa.int64(), "key": pa.string(), "role": pa.int32(), "used": pa.list_(pa.int32())}
+def blocks_of(spellings: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """The blocks (sid, key, role) of at most `block` spellings, in which all pairs may be compared; and those of more, None if there are none."""
+    rows = cut(_first_blocks(spellings), "blocks")
+    sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key"), "sizes")
+    if sizes.isEmpty():
+        return rows, None
+    return cut(guarded_join(rows, sizes, ["key"], "left_anti"), "small"), cut(guarded_join(rows, sizes, ["key"], "left_semi"), "great")
+
+
+def _forms_of(words: DataFrame, asking: bool) -> DataFrame:
+    """wid, form (hashed) of words (wid, word, short), those that ask and those that are asked each under texts of their own."""
+    # Roles 0, 1, 2 of the one side under the marks of those that they meet on the other.
+    marks = {0: [""], 1: ["?"], 2: ["!"]} if asking else {0: [""], 1: ["?", "!"], 2: ["?"]}
+    kinds = {"wid": pa.int64(), "forms": pa.list_(pa.string())}
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for sid, key, role, used, words, cuts in zip(*(c.to_pylist() for c in batch.columns)):
-                for at in set(range(len(words))) - set(used):
-                    for form, asks in word_forms(words[at], cuts[at]):
-                        wanted = 1 if asks else 2 if form.startswith("c:") else role
-                        if not (role == 2 and wanted == 1):
-                            rows.append((sid, f"{key}+{form}", max(role, wanted) if 1 not in (role, wanted) else 1, sorted([*used, at])))
+            columns = [c.to_pylist() for c in batch.columns]
+            for at in range(0, batch.num_rows, FORM_WORDS):
+                rows = [(wid, [m + form for form, role in word_forms(word, short) for m in marks[role]]) for wid, word, short in zip(*(c[at : at + FORM_WORDS] for c in columns))]
+                yield _arrow(rows, kinds)
+
+    made = _spread(words, TASK_TEXTS).mapInArrow(run, "wid long, forms array<string>")
+    return made.select("wid", F.explode("forms").alias("form")).select("wid", F.xxhash64("form").alias("form"))
+
+
+def _near_words(asking: DataFrame, offered: DataFrame) -> DataFrame:
+    """x, y: each word of asking with the words of offered (both wid, word, short) that can stand for it in spellings that agree."""
+
+    def run(batches):
+        for batch in batches:
+            near = [word_cost(a, ca, b, cb)[0] < 9 or word_cost(b, cb, a, ca)[0] < 9 for a, ca, b, cb in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            chosen = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(near, pa.bool_()))
+            if chosen.num_rows:
+                yield chosen
+
+    x, y = _forms_of(asking, True).withColumnRenamed("wid", "x"), _forms_of(offered, False).withColumnRenamed("wid", "y")
+    met = x.join(y, "form").select("x", "y").distinct()
+    texts = met.join(asking.toDF("x", "a", "ca"), "x").join(offered.toDF("y", "b", "cb"), "y")
+    full = cut(texts.select("x", "y", "a", "ca", "b", "cb"), "words")
+    return cut(_spread(full, TASK_PAIRS).mapInArrow(run, "x long, y long"), "near")
+
+
+def _letters(sids: DataFrame, spellings: DataFrame) -> DataFrame:
+    """sid, business, series, n (of words) and form of each of the spellings sids."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(sid, business, series, len(words), list(letter_forms(words))) for sid, business, series, words in zip(*(c.to_pylist() for c in batch.columns))]
             if rows:
                 yield _arrow(rows, kinds)
 
-    return great.join(forms, "sid").select("sid", "key", "role", "used", "words", "cuts").mapInArrow(run, _BLOCKS)
+    kinds = {"sid": pa.int64(), "business": pa.string(), "series": pa.int64(), "n": pa.int32(), "forms": pa.list_(pa.int64())}
+    made = _spread(cut(sids.join(spellings, "sid").select("sid", "business", "series", "words"), "lettered"), TASK_TEXTS)
+    made = made.mapInArrow(run, "sid long, business string, series long, n int, forms array<long>")
+    return made.select("sid", "business", "series", "n", F.explode("forms").alias("form"))
 
 
-def blocks_of(spellings: DataFrame, block: int = BLOCK) -> DataFrame:
-    """sid, key, role of blocks in which all pairs may be compared: each has at most `block` spellings.
+def _pairs_of_great(asks: DataFrame, offers: DataFrame, spellings: DataFrame) -> DataFrame:
+    """a < b of rows of asks with rows of offers (both sid, key) of the same key: all that agree, and few that do not.
 
-    A greater block is split by the other words of its spellings, each under all forms of which two agreeing words share one, so no
-    agreeing pair of whole words is lost; and again by a third word, until the blocks are small or no word is left.
-    What is left then agrees in every word; there each spelling meets the block's first one only. Short forms that as many spellings
-    fit tell none of them apart, and so name none.
+    If spellings of as many words agree, each word of the one has a near one in the other. So each asking spelling looks in its block only for
+    those with a word near to one of its own, the one to which the fewest are. Spellings with more or fewer words agree only
+    if their letters do, but for two edits. Nothing is left out, however great the block: what grows is the number of pairs that are near.
     """
-    forms = spellings.select("sid", "words", "cuts")
-    rows, done = cut(_first_blocks(spellings), "blocks"), None
-    while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("first")).where(F.col("n") > block)
-        sizes = cut(sizes, "sizes")
-        small = rows if sizes.isEmpty() else guarded_join(rows, sizes.select("key"), ["key"], "left_anti")
-        small = small.select("sid", "key", "role")
-        done = small if done is None else done.unionByName(small)
-        if sizes.isEmpty():
-            return cut(done, "blocks")
-        great = cut(guarded_join(rows, sizes, ["key"]), "great")
-        spent = forms.select("sid", F.size("words").alias("width"))
-        ended = great.where("role = 0").join(spent, "sid").where("size(used) >= width and sid <> first")
-        stars = ended.select(F.concat_ws("*", "key", F.col("sid").cast("string")).alias("key"), F.explode(F.array("sid", "first")).alias("sid"))
-        done = done.unionByName(stars.select("sid", "key", F.lit(0).alias("role")))
-        rows = cut(_finer_blocks(great.drop("n", "first"), forms).dropDuplicates(["sid", "key"]), "blocks")
+    asks = cut(asks.select("sid", "key").distinct(), "asks")
+    offers = cut(offers.select("sid", "key").distinct().join(asks.select("key").distinct(), "key", "left_semi"), "offers")
+    sids = asks.select("sid").union(offers.select("sid")).distinct()
+    words = sids.join(spellings, "sid").select("sid", F.size("words").alias("n"), F.explode(F.arrays_zip("words", "cuts")).alias("w"))
+    words = cut(words.select("sid", "n", F.col("w.words").alias("word"), F.col("w.cuts").alias("short")).distinct(), "spoken")
+    known = cut(words.select("word", "short").distinct().withColumn("wid", F.monotonically_increasing_id()).select("wid", "word", "short"), "known")
+    words = words.join(known, ["word", "short"]).select("sid", "n", "wid")
+    asking, offered = cut(asks.join(words, "sid"), "asking"), cut(offers.join(words, "sid"), "offered")
+    of = lambda rows: cut(known.join(rows.select("wid").distinct(), "wid", "left_semi"), "of")
+    near = _near_words(of(asking), of(offered))
+
+    sizes = offered.groupBy("key", "n", F.col("wid").alias("y")).agg(F.count(F.lit(1)).alias("size"))
+    ways = asking.select("key", "n", F.col("wid").alias("x")).distinct().join(near, "x").join(sizes, ["key", "n", "y"])
+    ways = cut(ways.select("key", "n", "x", "y", "size"), "ways")
+    weights = ways.groupBy("key", "n", "x").agg(F.sum("size").alias("weight"))
+    weighed = asking.withColumnRenamed("wid", "x").join(weights, ["key", "n", "x"], "left")
+    # A word that no offered spelling has anything near to is the best: nothing agrees then.
+    rarest = weighed.groupBy("key", "n", "sid").agg(F.min(F.struct(F.coalesce("weight", F.lit(0)), "x"))["x"].alias("x"))
+    mine, theirs = rarest.withColumnRenamed("sid", "s"), offered.select("key", "n", F.col("wid").alias("y"), F.col("sid").alias("t"))
+    met = mine.join(ways.drop("size"), ["key", "n", "x"]).join(theirs, ["key", "n", "y"]).select("s", "t")
+
+    l, r = _letters(asks.select("sid").distinct(), spellings), _letters(offers.select("sid").distinct(), spellings)  # noqa: E741
+    l, r = l.withColumnRenamed("sid", "s"), r.select("business", "series", "form", F.col("sid").alias("t"), F.col("n").alias("m"))  # noqa: E741
+    alike = l.join(r, ["business", "series", "form"]).where("n <> m").select("s", "t").distinct()
+    alike = alike.join(asks.withColumnRenamed("sid", "s"), "s").join(offers.withColumnRenamed("sid", "t"), ["t", "key"]).select("s", "t")
+    return met.union(alike).where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -205,7 +255,7 @@ def resolve_names(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     spellings are one profile from the start. entity is stable for one table, but means nothing beyond it.
 
     Merge and rematch: every distinct spelling is a profile and meets those with which it shares a block (a word, a word's beginning or end
-    with the initials of all words, or all words written together, always with business word and series number; see blocks_of). Agreeing
+    with the initials of all words, or all words written together, always with business word and series number; in great ones see _pairs_of_great). Agreeing
     profiles merge and unite their spellings, initials and block keys. Each part of a merged profile then enters the blocks that the other parts
     brought and that it has not been in, with all its spellings against all of the others there, until nothing merges. No
     pair of spellings is compared twice. See _united for what may merge: a short form that fits two different names joins neither.
@@ -217,7 +267,8 @@ def resolve_names(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     spellings = cut(names.select(*spelled).distinct().withColumn("sid", F.monotonically_increasing_id()), "spellings")
     forms = spellings.select("sid", "words", "cuts")
     cuts = spellings.where(F.exists("cuts", lambda x: x)).select("sid")
-    blocks = blocks_of(spellings, block)
+    small, great = blocks_of(spellings, block)
+    blocks = small if great is None else small.unionByName(great)
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of spellings the agreeing ones, and how they agree."""
@@ -227,7 +278,12 @@ def resolve_names(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         return cut(_agreeing(_spread(full, TASK_PAIRS)), "agreeing")
 
     entity_of = spellings.select("sid", F.col("sid").alias("entity"))
-    decided = cut(_pairs(blocks, blocks), "decided")
+    met = _pairs(small, small)
+    if great is not None:
+        asks = cut(great.where("role < 2"), "askers")
+        if not asks.isEmpty():
+            met = met.union(_pairs_of_great(asks, great, spellings)).distinct()
+    decided = cut(met, "decided")
     edges = compared(decided)
     while True:
         now = _united(entity_of, edges, cuts)
@@ -239,12 +295,19 @@ def resolve_names(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         several = held.groupBy("entity").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("entity")
         held = cut(held.join(several, "entity", "left_semi"), "held")
         new = held.select("entity", "key").distinct().join(held.select("entity", "part").distinct(), "entity").join(held, ["entity", "part", "key"], "left_anti")
-        others = blocks.join(parts, "sid").select("key", F.col("part").alias("other"), F.col("entity").alias("other_entity")).distinct()
+        new = new if great is None else cut(new, "new")
+        others = small.join(parts, "sid").select("key", F.col("part").alias("other"), F.col("entity").alias("other_entity")).distinct()
         meeting = new.join(others, "key").where("entity <> other_entity").select("part", "other").distinct()
         spoken = parts.select("part", "sid")
         fresh = meeting.join(spoken.withColumnRenamed("sid", "s"), "part").join(spoken.select(F.col("part").alias("other"), F.col("sid").alias("t")), "other")
-        fresh = fresh.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct().join(decided, ["a", "b"], "left_anti")
-        fresh = cut(fresh, "fresh")
+        fresh = fresh.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+        entered = None if great is None else cut(new.join(great.select("key").distinct(), "key", "left_semi"), "entered")
+        if entered is not None and not entered.isEmpty():
+            there = great.join(entered.select("key").distinct(), "key", "left_semi").join(parts, "sid").select("key", "part").distinct()
+            found = _pairs_of_great(entered.join(spoken, "part"), there.join(spoken, "part"), spellings)
+            within = now.select(F.col("sid").alias("a"), F.col("entity").alias("ea")), now.select(F.col("sid").alias("b"), F.col("entity").alias("eb"))
+            fresh = fresh.union(found.join(within[0], "a").join(within[1], "b").where("ea <> eb").select("a", "b"))
+        fresh = cut(fresh.distinct().join(decided, ["a", "b"], "left_anti"), "fresh")
         entity_of = now
         if not fresh.isEmpty():
             decided = cut(decided.unionByName(fresh), "decided")

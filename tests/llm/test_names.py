@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from stratalog.llm.names import BUSINESS, DIFFERENT, FIRST_SHORT, SAME, agreement, distance, name_of_line, parse_name, word_forms, word_keys
+from stratalog.llm.names import BUSINESS, DIFFERENT, FIRST_SHORT, SAME, agreement, distance, letter_forms, name_of_line, parse_name, word_cost, word_forms, word_keys
 from stratalog.llm.resolution import components, resolve_names, same_entity_pairs
 
 ONE = [
@@ -128,6 +128,49 @@ def test_great_blocks_are_split_without_loss(spark):
     assert pairs(4) == pairs(10_000)
 
 
+def test_great_blocks_keep_what_only_they_show(spark):
+    """Pairs of which every key is that of a great block: short forms only, words together and apart, cut without a point, cut and misspelled."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    others = [f"{x} {y} Capital" for x, y in ((f"Med{word(2)}", f"Qui{word(2)}") for _ in range(30))] + [f"American {word(3)} Tolvane Capital" for _ in range(30)] + [f"American Interm{word(5)} Capital" for _ in range(30)]
+    alike = ["Marbeck Quinnor Capital", "Mar. Qui. Capital", "American Gremlok Tolvane Capital", "Americangremlok Tolvane Capital", "American Intermovexiladu Capital", "American Intermov Capital", "American Intermazovupeki Capital", "American Intremazo. Capital"]
+    rows = [(i, x) for i, x in enumerate(alike)] + [(100 + i, x) for i, x in enumerate(others)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    pairs = lambda n: {(r.a, r.b) for r in same_entity_pairs(resolve_names(df, n), "a", "b").collect()}
+    found = pairs(5)
+    assert {(a, b) for a, b in found if b < 100} == {(0, 1), (2, 3), (4, 5), (6, 7)}
+    assert found == pairs(10_000)
+
+
+def test_letters_that_agreeing_spellings_share():
+    for a, b in ((["marbeck", "tolvane"], ["marbecktolvane"]), (["tolvane", "marbeck", "quin"], ["marbektolvqane", "quin"]), (["ab", "c"], ["cab"]), (["a", "bb"], ["bba"])):
+        assert agreement(a, [False] * len(a), b, [False] * len(b)) == SAME
+        assert letter_forms(a) & letter_forms(b), (a, b)
+    assert not letter_forms(["ab", "c"]) & letter_forms(["abd"])
+
+
+def test_near_words_meet_by_their_forms():
+    """Any two words that can stand for each other share a form, with roles that let them meet: also swaps in long words, and cut words."""
+    rng = random.Random(4)
+    meets = lambda a, b: any(f in b and (1 in (r, b[f]) or r == b[f] == 0) for f, r in a.items())
+    near = 0
+    for _ in range(6000):
+        n = rng.choice([1, 2, 3, 4, 5, 6, 7, 9, 12, 21, 22, 23, 25, 27, 28, 30, 45])
+        a = "".join(rng.choice("abcde") for _ in range(n))
+        b = a
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(b) + 1)
+            b = rng.choice([b[:i] + b[i + 1 :], b[:i] + "z" + b[i:], b[:i] + "z" + b[i + 1 :], b[:i] + b[i : i + 2][::-1] + b[i + 2 :], b[:i] + b[i : i + 2][::-1] + b[i + 2 :], b[:i]]) or "z"
+        ca, cb = rng.random() < 0.3, rng.random() < 0.3
+        if word_cost(a, ca, b, cb)[0] < 9 or word_cost(b, cb, a, ca)[0] < 9:
+            near += 1
+            assert meets(dict(word_forms(a, ca)), dict(word_forms(b, cb))), (a, ca, b, cb)
+    assert near > 3000
+    a = "abcdefghijklmnopqrstuvwxyzab"
+    b = "abcdegfhijklmnopqsrtuvwxyzab"  # swaps where the pieces of old met
+    assert word_cost(a, False, b, False)[0] == 2 and meets(dict(word_forms(a, False)), dict(word_forms(b, False)))
+
+
 def test_forms_that_agreeing_words_share():
     rng = random.Random(9)
     for n in (3, 5, 8, 12, 20, 23, 24, 25, 26, 27, 28, 40):
